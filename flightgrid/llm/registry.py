@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flightgrid.llm import chat_format, fm_decontam, golay_simhash, sentencepiece_bpe, vp_search, warc
+from flightgrid.llm import chat_format, fm_decontam, golay_simhash, pu_toxicity, sentencepiece_bpe, template_lines, vp_search, warc
 from flightgrid.llm._store import table
 
 
+def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_toxicity.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.with_control_case(table(spark, sf_dir, "conversations")))
 
@@ -26,6 +30,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(table(spark, sf_dir, "pages"))
 
 
+def op7_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_lines.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.digests(table(spark, sf_dir, "documents"))
 
@@ -35,7 +43,7 @@ def op10_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_chat_format, op4_vp_search, op5_sentencepiece, op6_warc, op8_golay_simhash, op10_fm_decontam)
+    f.__name__: f for f in (op2_pu_toxicity, op3_chat_format, op4_vp_search, op5_sentencepiece, op6_warc, op7_template_lines, op8_golay_simhash, op10_fm_decontam)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -20,54 +20,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from typing import Any, BinaryIO
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightgrid.llm._store import cut, scratch_path
+from flightgrid.llm._store import Files, cut, scratch_path
 
 DATE = "2020-01-01T00:00:00Z"
 MANIFEST = "file string, records long, bytes long, sha256 string, first_id long, last_id long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-class _Files:
-    """Files of a folder that is local or mounted (file:), else pyarrow's."""
-
-    def __init__(self, uri: str):
-        scheme = uri.partition(":")[0] if ":" in uri else "file"
-        self.local = scheme == "file"
-        if self.local:
-            self.base = "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
-        else:
-            from pyarrow import fs
-
-            self.fs, self.base = fs.FileSystem.from_uri(uri)
-
-    def create(self, name: str) -> Any:
-        if self.local:
-            os.makedirs(self.base, exist_ok=True)
-            return open(f"{self.base}/{name}", "wb")
-        self.fs.create_dir(self.base)
-        return self.fs.open_output_stream(f"{self.base}/{name}")
-
-    def rename(self, a: str, b: str) -> None:
-        if self.local:
-            os.replace(f"{self.base}/{a}", f"{self.base}/{b}")
-        else:
-            self.fs.move(f"{self.base}/{a}", f"{self.base}/{b}")
-
-    def open(self, name: str) -> BinaryIO:
-        return open(f"{self.base}/{name}", "rb") if self.local else self.fs.open_input_stream(f"{self.base}/{name}")
-
-
 def record_id(page_id: int) -> str:
     return f"<urn:page:{page_id}>"
 
@@ -114,7 +83,7 @@ def write(pages: DataFrame, folder: str, roll: int = 256 << 20, least: int = 100
     rows = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, part = _Files(folder), TaskContext.get().partitionId()
+        files, part = Files(folder), TaskContext.get().partitionId()
         out, done = None, 0
 
         def close() -> pa.RecordBatch:
@@ -166,7 +135,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = _Files(folder)
+        files = Files(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows: list[dict] = []
