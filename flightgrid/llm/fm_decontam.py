@@ -228,8 +228,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, b
                     np.add.at(covered, first + size, -1)
                     for d, w in set(zip(doc[first].tolist(), window.tolist(), strict=True)):
                         names[d].update(tests[0].owners[w])
-                    if len(blocks) > 1:
-                        block.unpersist()
+                    if len(blocks) > 1:  # one block at a time stays in a worker's memory
+                        block.__dict__.pop("_value", None)
                 hit = np.cumsum(covered[:-1]) > 0
                 spans: list[list] = [[] for _ in range(part.num_rows)]
                 head = hit.copy()

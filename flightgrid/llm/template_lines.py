@@ -5,7 +5,8 @@ then its first ``depth`` words, with every word that holds a digit read as a var
 field.  At the leaf it belongs to up to six templates: the line itself (digit fields
 variable), and, from ten words on, the five templates in which one fifth of the
 positions after the leading words is a variable field too; lines of one template so
-agree in at least 0.8 of their words.  A template that occurs in at least ``min_docs``
+agree in at least 0.8 of their words.  A line with more variable than constant words
+belongs to none.  A template that occurs in at least ``min_docs``
 documents is recurring, and its lines are dropped from every document but the one with
 the smallest id, which keeps the passage in the corpus once.
 
@@ -49,7 +50,8 @@ def templates(col: pa.Array, least: int, depth: int) -> tuple[np.ndarray, np.nda
     if not len(starts):
         return np.zeros(0, np.uint64), none, none
     digits = np.concatenate([[0], np.cumsum(DIGIT[data[:n]])])
-    word = np.where(digits[ends] > digits[starts], VARIABLE, hash_spans(data, starts, ends))
+    variable = digits[ends] > digits[starts]
+    word = np.where(variable, VARIABLE, hash_spans(data, starts, ends))
     breaks = np.concatenate([[0], np.cumsum(data[:n] == 10)])
     in_text = breaks[starts] - breaks[offsets[doc]]
     new = np.ones(len(starts), bool)
@@ -61,13 +63,14 @@ def templates(col: pa.Array, least: int, depth: int) -> tuple[np.ndarray, np.nda
     part[place < depth] = -1
     term = mix(word ^ mix(place.astype(np.uint64) + np.uint64(1)))
     total = np.add.reduceat(term, first)
+    firm = 2 * np.add.reduceat(variable.astype(np.int64), first) <= size
     keys, lines = [], []
     with np.errstate(over="ignore"):
         for p in range(-1, PARTS):
             if p < 0:
-                rows, h = np.flatnonzero(size >= least), total
+                rows, h = np.flatnonzero(firm & (size >= least)), total
             else:
-                rows, h = np.flatnonzero(size >= max(least, LEAST_LONG)), total - np.add.reduceat(np.where(part == p, term, np.uint64(0)), first)
+                rows, h = np.flatnonzero(firm & (size >= max(least, LEAST_LONG))), total - np.add.reduceat(np.where(part == p, term, np.uint64(0)), first)
             keys.append(mix(h[rows] ^ mix(size[rows].astype(np.uint64) * np.uint64(8) + np.uint64(p + 1))))
             lines.append(rows)
     line = np.concatenate(lines)

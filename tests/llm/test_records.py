@@ -117,7 +117,7 @@ def test_nearest(spark):
 
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(1)
-    words = [f"word{i}" for i in range(300)]
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(300)]
     say = lambda n: " ".join(r.choice(words) for _ in range(n))
     clean = [say(80) for _ in range(60)]
     item = say(40)

@@ -172,6 +172,8 @@ def keys_of(line):
     if n < 4:
         return []
     w = ["*" if re.search("[0-9]", x) else x for x in w]
+    if 2 * w.count("*") > n:
+        return []
     more = [(n, p, *(x if j < 2 or j * 5 // n != p else None for j, x in enumerate(w))) for p in range(5)] if n >= 10 else []
     return [(n, -1, *w), *more]
 
