@@ -1,0 +1,36 @@
+"""What a delivery folder holds: formats, missing files, digests and stale stamps."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def format_of(files: DataFrame, folder: str, name: str) -> DataFrame:
+    """``exif`` if there is any JPEG, else ``ortho`` if any TIFF, else null."""
+    ext = F.lower(F.regexp_extract(F.col(name), r"\.([^.]*)$", 1))
+    return files.groupBy(folder).agg(F.when(F.bool_or(ext.isin("jpg", "jpeg")), "exif").when(F.bool_or(ext.isin("tif", "tiff")), "ortho").alias("format"))
+
+
+def missing(expected: DataFrame, listed: DataFrame, on: list[str]) -> DataFrame:
+    return expected.join(listed, on, "left_anti")
+
+
+def shot_number(name: Column) -> Column:
+    """The four digits of the camera's names (any case), as a number; else null."""
+    n = F.regexp_extract(name, r"(?i)_(\d{4})_D\.JPG", 1)
+    return F.when(n != "", n.cast("int"))
+
+
+def fileset_digest(files: DataFrame, folder: str) -> DataFrame:
+    """Count, newest time and 16 digits of a digest over sorted name, size and time."""
+    line = F.concat_ws("|", "name", F.col("size").cast("string"), F.col("mtime").cast("string"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda s: F.concat(s, F.lit("\n"))), "")
+    return files.groupBy(folder).agg(F.count("*").alias("files"), F.max("mtime").alias("newest"), F.substring(F.sha2(text, 256), 1, 16).alias("digest"))
+
+
+def stale_reasons(stamp: DataFrame, current: DataFrame, ignored: tuple[str, ...] = ("COMPOSED", "MTIME")) -> DataFrame:
+    """Keys on which a stamp and the current state differ; absent values are named."""
+    j = stamp.withColumnRenamed("value", "was").join(current.withColumnRenamed("value", "now"), "key", "full")
+    absent = F.lit("(absent)")
+    return j.where(~F.col("was").eqNullSafe(F.col("now")) & ~F.col("key").isin(*ignored)).select("key", F.coalesce("was", absent).alias("was"), F.coalesce("now", absent).alias("now"))
