@@ -96,14 +96,16 @@ def demote(marked: DataFrame, found: DataFrame) -> DataFrame:
 
 def thin(shots: DataFrame, step: Column | float) -> DataFrame:
     """Greedy thinning along the flight: the first usable shot, and each usable one at
-    least ``step`` from the last kept.  The fold needs a flight's shots in one array."""
+    least ``step`` from the last kept or, where there is such a column, marked as an
+    ``endpoint`` of a leg.  The fold needs a flight's shots in one array."""
     step = F.lit(step) if isinstance(step, (int, float)) else step
-    usable = shots.where("usable").withColumn("step", step.cast("double"))
-    per = usable.groupBy("flight_id").agg(F.array_sort(F.collect_list(F.struct("ord", "east_m", "north_m", "step"))).alias("s"))
+    end = F.col("endpoint") if "endpoint" in shots.columns else F.lit(False)
+    usable = shots.where("usable").withColumns({"step": step.cast("double"), "end": end})
+    per = usable.groupBy("flight_id").agg(F.array_sort(F.collect_list(F.struct("ord", "east_m", "north_m", "step", "end"))).alias("s"))
     empty = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.array().cast("array<int>").alias("kept"))
 
     def fold(acc: Column, s: Column) -> Column:
-        take = acc.x.isNull() | (F.hypot(s.east_m - acc.x, s.north_m - acc.y) >= s.step)
+        take = acc.x.isNull() | s.end | (F.hypot(s.east_m - acc.x, s.north_m - acc.y) >= s.step)
         return F.struct(
             F.when(take, s.east_m).otherwise(acc.x).alias("x"),
             F.when(take, s.north_m).otherwise(acc.y).alias("y"),

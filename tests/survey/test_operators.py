@@ -55,7 +55,9 @@ def test_curves_and_legs_of_odd_flights(spark):
     assert marked.where("flight_id = 3 and not is_curve").count() == 0
     assert flight.thin(marked, 2.0).where("flight_id = 3").count() == 0
     kept = {r.ord for r in flight.thin(marked, 2.0).where("flight_id = 4").collect()}
-    assert kept == {0, 2, 4, 6, 8}
+    assert kept == {0, 2, 4, 7, 9}
+    ends = marked.withColumn('endpoint', F.col('ord').isin(5, 8))
+    assert {r.ord for r in flight.thin(ends, 2.0).where('flight_id = 4').collect()} == {0, 2, 4, 5, 7, 8}
 
 
 def test_yaw_difference_range(spark):
