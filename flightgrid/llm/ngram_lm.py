@@ -95,23 +95,26 @@ class EliasFano:
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low)).astype(np.int64)
         low = values & self.mask
-        # The zero that ends the run before this one: its place gives the first element.
+        # A run of ones between two zeros is the elements with one high part; the lows
+        # within it ascend, so they are halved (a frequent context makes long runs).
         last = int(self.zeros[-1]) + 64 - int(np.bitwise_count(self.words[-1]))
-        live = np.flatnonzero(high <= last)
-        place = np.zeros(len(live), np.int64)
-        later = high[live] > 0
-        place[later] = self._select_zero(high[live][later] - 1) + 1
-        top = len(self.words) * 64
-        live, place = live[place < top], place[place < top]
+        live = np.flatnonzero(high < last)
+        h, low = high[live], low[live]
+        lo = np.zeros(len(live), np.int64)
+        later = h > 0
+        lo[later] = self._select_zero(h[later] - 1) - h[later] + 1
+        hi = self._select_zero(h) - h
+        on = lo < hi
+        live, low, lo, hi = live[on], low[on], lo[on], hi[on]
         while len(live):
-            on = (self.words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-            live, place = live[on], place[on]
-            i = place - high[live]
-            got = self.lows(i)
-            hit = got == low[live]
-            out[live[hit]] = i[hit]
-            more = got < low[live]
-            live, place = live[more], place[more] + 1
+            mid = (lo + hi) >> 1
+            got = self.lows(mid)
+            hit = got == low
+            out[live[hit]] = mid[hit]
+            less = got < low
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            on = ~hit & (lo < hi)
+            live, low, lo, hi = live[on], low[on], lo[on], hi[on]
         return out
 
     def _select_zero(self, j: np.ndarray) -> np.ndarray:
@@ -239,7 +242,11 @@ class Trie:
         level = self.m.levels[k - 1]
         entry, p = np.full(len(context), NONE), np.zeros(len(context))
         for found, who, offset in self._each(level, child_shard(context, word, level.heavy, len(level.files))):
-            c = found["contexts"].find(context[who])
+            if not len(who):
+                continue
+            own = context[who]  # ascending, as the caller's keys are
+            new = np.append(True, own[1:] != own[:-1])
+            c = found["contexts"].find(own[new])[np.cumsum(new) - 1]
             who, c = who[c >= 0], c[c >= 0]
             i = found["children"].find(c.astype(np.uint64) * np.uint64(self.m.width) + word[who].astype(np.uint64))
             hit = i >= 0
@@ -335,7 +342,10 @@ def _entries(trie: Trie, t: Tokens, order: int) -> tuple[np.ndarray, np.ndarray,
             steps.append((context, np.full(len(rank), NONE), np.zeros(len(rank))))
             break
         entry, p = np.full(len(rank), NONE), np.zeros(len(rank))
-        live = np.flatnonzero((context >= 0) & (rank >= 0))
+        live = (context >= 0) & (rank >= 0)
+        if steps:  # a k-gram is kept only if what is left without its first word is
+            live &= steps[-1][1] >= 0
+        live = np.flatnonzero(live)
         keys, back = np.unique(context[live].astype(np.uint64) * np.uint64(trie.m.width) + rank[live].astype(np.uint64), return_inverse=True)
         e, q = trie.children(k, (keys // np.uint64(trie.m.width)).astype(np.int64), (keys % np.uint64(trie.m.width)).astype(np.int64))
         entry[live], p[live] = e[back], q[back]
