@@ -68,7 +68,7 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, folder: str, roll: int = 256 << 20, least: int = 100, level: int = 5) -> DataFrame:
+def write(pages: DataFrame, folder: str, roll: int = 256 << 20, least: int = 100, level: int = 5, most: int = 500_000) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to ``folder``; the manifest, which is
     committed at ``folder``/manifest."""
     spark = pages.sparkSession
@@ -78,7 +78,10 @@ def write(pages: DataFrame, folder: str, roll: int = 256 << 20, least: int = 100
     first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = cut(first, "warc-first")
     revisit = rows.where(F.col("size") >= least).select("page_id", "digest").join(first, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct()
-    rows = rows.drop("size").join(revisit, ["page_id", "digest"], "left")
+    revisit = cut(revisit, "warc-revisits")
+    # About a hundred bytes a row: sent to all where there are few, else joined.
+    small = revisit.count() <= most
+    rows = rows.drop("size").join(F.broadcast(revisit) if small else revisit, ["page_id", "digest"], "left")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "digest", "url")
 
