@@ -154,13 +154,15 @@ def _repeated_in_shard(width: int, memory: int):
     return run
 
 
-def _attached(docs: DataFrame, small: DataFrame, most: int) -> DataFrame:
-    """``docs`` with the columns of ``small`` (one row a key): by a broadcast where
-    it has at most ``most`` rows, else by a shuffled join."""
-    return docs.join(F.broadcast(small) if small.count() <= most else small, "row", "left")
+def _attached(docs: DataFrame, small: DataFrame, values: str, most: int) -> DataFrame:
+    """``docs`` with the columns of ``small`` (one row a key): by a broadcast where its
+    rows and the entries of its array ``values`` are ``most`` at most (some 60 bytes
+    each), else by a shuffled join."""
+    size = small.agg(F.coalesce(F.sum(F.size(values) + 1), F.lit(0))).first()[0]
+    return docs.join(F.broadcast(small) if size <= most else small.hint("merge"), "row", "left")
 
 
-def repeated(rows: DataFrame, width: int = 200, gram: int = 100, block: int = 1_024, shard_bytes: int = 1 << 20, memory: int = 1_000_000, most: int = 500_000) -> DataFrame:
+def repeated(rows: DataFrame, width: int = 200, gram: int = 100, block: int = 1_024, shard_bytes: int = 1 << 20, memory: int = 1_000_000, most: int = 100_000) -> DataFrame:
     """(row, a, b) of repeated stretches of the texts of (row, text)."""
     found = cut(_stretches(rows, width, gram), "stretches")
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
@@ -197,7 +199,7 @@ def repeated(rows: DataFrame, width: int = 200, gram: int = 100, block: int = 1_
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("home", pa.int64()), ("row", pa.int64()), ("a", pa.int64()), ("bytes", pa.binary())])
-    texts = _attached(rows, asked, most).where("asked is not null").select("row", "text", "asked")
+    texts = _attached(rows, asked, "asked", most).where("asked is not null").select("row", "text", "asked")
     got = texts.mapInArrow(fetch, "home long, row long, a long, bytes binary")
     # Equal rows each bring the same stretches: one of them is enough.
     got = cut(got.dropDuplicates(["home", "row", "a"]), "stretches-bytes")
@@ -208,13 +210,13 @@ def repeated(rows: DataFrame, width: int = 200, gram: int = 100, block: int = 1_
     return whole.unionAll(parts)
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 200, most: int = 500_000, **how: int) -> DataFrame:
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 200, most: int = 100_000, **how: int) -> DataFrame:
     """``docs`` with ``spans`` (array of a, b): the maximal removed runs of bytes."""
     keyed = docs.withColumn("row", _row_key(key, text))
     rows = keyed.where(F.octet_length(text) >= width).select("row", F.col(text).alias("text"))
     found = repeated(rows, width, most=most, **how)
     merged = cut(found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
-    return _attached(keyed, merged, most).drop("row")
+    return _attached(keyed, merged, "spans", most).drop("row")
 
 
 def _merged(found: list[dict] | None) -> list[tuple[int, int]]:

@@ -9,6 +9,12 @@ queues of induction are priority queues by first symbol: an entry is a suffix an
 number of symbols it shares with the entry before it, one more than the least such
 number between the two suffixes that induced them.  Queues beyond ``memory`` entries
 go to an unlinked file, so the text may be far larger than what the queues may hold.
+
+Where symbols are few beside the text's length, a queue's entries are taken a batch at
+a time with numpy: what a batch induces for its own symbol is the next batch, so the
+order is that of taking them one by one.  Sequences of names have many symbols with
+few suffixes each; their entries are taken one by one, those of a sequence that is
+within ``memory`` from plain lists.
 """
 
 from __future__ import annotations
@@ -17,10 +23,15 @@ import heapq
 import tempfile
 from array import array
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+#: Suffixes a symbol from which entries are taken by batches.
+FEW = 64
+BATCH = 1 << 16
+
 
 class Queue:
     """A monotone priority queue of (symbol, suffix, shared): smallest (or, where
@@ -81,6 +92,58 @@ class Queue:
             self.file.close()
 
 
+class BatchQueue:
+    """Queues of (suffixes, shared) arrays, one a symbol, first in, first out."""
+
+    def __init__(self, memory: int):
+        self.memory = memory
+        self.parts: dict[int, deque] = {}
+        self.held, self.file = 0, None
+
+    def push(self, symbol: int, suffix: np.ndarray, shared: np.ndarray) -> None:
+        self.parts.setdefault(symbol, deque()).append((suffix, shared))
+        self.held += len(suffix)
+
+    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The symbol's entries so far, or as many of them as a batch holds."""
+        parts = self.parts.get(symbol)
+        if parts is None:
+            return None
+        found, n = [], 0
+        while parts and n < BATCH:
+            part = parts.popleft()
+            if isinstance(part[0], int):  # on disk: place and number
+                self.file.seek(part[0])
+                raw = np.frombuffer(self.file.read(16 * part[1]), np.int64)
+                part = raw[: part[1]], raw[part[1] :]
+            else:
+                self.held -= len(part[0])
+            found.append(part)
+            n += len(part[0])
+        if not parts:
+            del self.parts[symbol]
+        return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def spill(self) -> None:
+        """Move all arrays in memory to disk, if they are too many."""
+        if self.held <= self.memory:
+            return
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        at = self.file.seek(0, 2)
+        for parts in self.parts.values():
+            for k, (suffix, shared) in enumerate(parts):
+                if not isinstance(suffix, int):
+                    self.file.write(suffix.tobytes() + shared.tobytes())
+                    parts[k] = (at, len(suffix))
+                    at += 16 * len(suffix)
+        self.held = 0
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
 def sorted_on_disk(items: Iterable[tuple[bytes, int]], memory: int) -> Iterator[tuple[bytes, int]]:
     """Merge of sorted runs of ``memory`` items."""
     import pickle
@@ -170,26 +233,132 @@ def suffix_order(t: np.ndarray, most: int = 0, memory: int = 1_000_000) -> tuple
     near = np.zeros(len(ordered), np.int64)
     if most and len(ordered) > 1:
         near[1:] = common(t, ordered[:-1], ordered[1:], most)
-    text, is_s = t.tolist(), s.tolist()
+    if n >= FEW * (int(t.max()) + 1):
+        text, is_s, induce = t, s, _induce_batches
+    elif not most and n <= memory:
+        text, is_s, induce = t, s, _induce_names
+    else:
+        text, is_s, induce = t.tolist(), s.tolist(), _induce
     # Ascending: S* suffixes induce L suffixes.
-    large, shares = _induce(Queue(memory), text, is_s, ordered.tolist(), near.tolist(), False, most)
+    large, shares = induce(memory, text, is_s, ordered, near, False, most)
     # Descending: L suffixes induce S suffixes.  What an L suffix shares with the one
     # below it is what that one shares with the one above it.
-    down = np.array(large, np.int64)[::-1]
-    above = np.append(0, np.array(shares, np.int64)[::-1][:-1])
-    found, shares = _induce(Queue(memory, down=True), text, is_s, down.tolist(), above.tolist(), True, most)
+    above = np.append(0, shares[::-1][:-1])
+    found, shares = induce(memory, text, is_s, large[::-1], above, True, most)
     # The end of the text follows last; what each shares with the one above is now
     # moved to the upper of the two.
-    sa = np.append(np.array(found, np.int64), n - 1)[::-1]
-    return sa, np.concatenate([[0, 0], np.array(shares[1:], np.int64)[::-1]])
+    sa = np.append(found, n - 1)[::-1]
+    return sa, np.concatenate([[0, 0], shares[1:][::-1]])
+
+
+def lowest(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least of v[a:b] for each pair, a < b."""
+    size = b - a
+    out = np.empty(len(a), v.dtype)
+    step, width = v, 1
+    todo = np.arange(len(a))
+    while len(todo):
+        now = size[todo] < 2 * width  # two overlapping stretches of ``width``
+        i = todo[now]
+        out[i] = np.minimum(step[a[i]], step[b[i] - width])
+        todo = todo[~now]
+        if len(todo):
+            step = np.minimum(step[:-width], step[width:])
+            width *= 2
+    return out
 
 
-def _induce(queue: Queue, text: list[int], is_s: list[bool], seeds: list[int], near: list[int], want_s: bool, most: int) -> tuple[list[int], list[int]]:
+def _induce_batches(memory: int, t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, near: np.ndarray, want_s: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _induce, by batches."""
+    queue = BatchQueue(memory)
+    top = np.int64(1 << 40)
+    since = np.full(int(t.max()) + 1, -1, np.int64)  # least shared since a symbol's last entry; -1: none yet
+    out, shared_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def took(suffix: np.ndarray, shared: np.ndarray) -> None:
+        at = np.flatnonzero(suffix > 0)
+        at = at[is_s[suffix[at] - 1] == want_s]
+        c = t[suffix[at] - 1]
+        order = np.argsort(c, kind="stable")
+        at, c = at[order], c[order]
+        new = np.append(True, c[1:] != c[:-1])[: len(c)]
+        heads = np.flatnonzero(new)
+        got = np.zeros(len(at), np.int64)
+        if most:
+            first, here = at[heads], c[heads]
+            got[heads] = np.where(since[here] < 0, 0, np.minimum(since[here], np.minimum.accumulate(shared)[first]) + 1)
+            rest = np.flatnonzero(~new)
+            got[rest] = lowest(shared, at[rest - 1] + 1, at[rest] + 1) + 1
+            np.minimum(got, most, out=got)
+            np.minimum(since, shared.min(), out=since)
+            after = np.append(np.minimum.accumulate(shared[::-1])[::-1], top)
+            since[here] = after[at[np.append(heads[1:], len(at))[: len(heads)] - 1] + 1]
+        child = suffix[at] - 1
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(at)], strict=False):
+            queue.push(int(c[a]), child[a:b], got[a:b])
+
+    def take(suffix: np.ndarray, shared: np.ndarray, keep: bool) -> None:
+        for k in range(0, len(suffix), BATCH):
+            took(suffix[k : k + BATCH], shared[k : k + BATCH])
+        if keep:
+            out.append(suffix)
+            shared_out.append(shared)
+        queue.spill()
+
+    symbols = t[seeds]
+    symbols = -symbols if want_s else symbols
+    for symbol in range(len(since) - 1, -1, -1) if want_s else range(len(since)):
+        previous = -1
+        while (part := queue.pop(symbol)) is not None:
+            suffix, shared = part
+            if previous < 0:
+                shared = shared.copy()
+                shared[0] = 0  # nothing is shared over symbols
+            take(suffix, shared, True)
+            previous = int(suffix[-1])
+        value = -symbol if want_s else symbol
+        a, b = np.searchsorted(symbols, value), np.searchsorted(symbols, value, side="right")
+        if a < b:
+            shared = near[a:b].copy()
+            shared[0] = 0 if previous < 0 else _common_one(t, previous, int(seeds[a]), most)
+            take(seeds[a:b], shared, want_s)
+    queue.close()
+    return np.concatenate(out), np.concatenate(shared_out)
+
+
+def _induce_names(memory: int, t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, near: np.ndarray, want_s: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _induce, for sequences within ``memory`` whose shared symbols aren't asked for."""
+    before = np.full(len(t), -1, np.int64)  # the symbol that a suffix induces, if any
+    before[1:] = np.where(is_s[:-1] == want_s, t[:-1], -1)
+    before = before.tolist()
+    size = int(t.max()) + 1
+    queues: list[list[int]] = [[] for _ in range(size)]
+    cuts = np.searchsorted(t[seeds] if not want_s else -t[seeds], np.arange(size + 1) if not want_s else np.arange(1 - size, 2)).tolist()
+    seeds = seeds.tolist()
+    out = array("q")
+    for k, symbol in enumerate(range(size - 1, -1, -1) if want_s else range(size)):
+        queue = queues[symbol]
+        for i in queue:  # grows meanwhile
+            if (c := before[i]) >= 0:
+                queues[c].append(i - 1)
+        out.extend(queue)
+        queues[symbol] = []
+        own = seeds[cuts[k] : cuts[k + 1]]
+        for i in own:
+            if (c := before[i]) >= 0:
+                queues[c].append(i - 1)
+        if want_s:
+            out.extend(own)
+    return np.array(out, np.int64), np.zeros(len(out), np.int64)
+
+
+def _induce(memory: int, text: list[int], is_s: list[bool], seeds: np.ndarray, near: np.ndarray, want_s: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge what is induced with ``seeds``; of a symbol, induced suffixes come first.
     Returns the induced suffixes (want_s: all suffixes) in the order of the queue, with
     the symbols each shares with the one before it."""
-    sign = queue.sign
-    out, shared_out = [], []
+    queue = Queue(memory, down=want_s)
+    sign, seeds, near = queue.sign, seeds.tolist(), near.tolist()
+    out, shared_out = array("q"), array("q")
     least, last = Shared(), {}
     previous, k, n = -1, 0, len(seeds)
 
@@ -229,21 +398,41 @@ def _induce(queue: Queue, text: list[int], is_s: list[bool], seeds: list[int], n
             previous = i
             k += 1
     queue.close()
-    return out, shared_out
+    return np.array(out, np.int64), np.array(shared_out, np.int64)
 
 
-def _common_one(text: list[int], a: int, b: int, most: int) -> int:
+def _common_one(text: list[int] | np.ndarray, a: int, b: int, most: int) -> int:
     d = 0
     while d < most and max(a, b) + d < len(text) and text[a + d] == text[b + d]:
         d += 1
     return d
 
 
-def _star_order(t: np.ndarray, star: np.ndarray, memory: int) -> np.ndarray:
-    """The order of the suffixes at S* places."""
+def names_in_memory(t: np.ndarray, star: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Names of substrings by refinement of equal ones, several symbols at a time."""
+    bits = (int(t.max()) + 1).bit_length()
+    per, pad = 63 // bits, (1 << bits) - 1  # the pad is above all symbols
+    group, live, d = np.zeros(len(star), np.int64), np.arange(len(star)), 0
+    while len(live):
+        key = np.zeros(len(live), np.int64)
+        for j in range(d, d + per):
+            at = star[live] + j
+            key = key << bits | np.where(at < ends[live], t[np.minimum(at, len(t) - 1)], pad)
+        order = np.lexsort((key, group[live]))
+        who, key, old = live[order], key[order], group[live][order]
+        spot = np.arange(len(who))
+        fresh = np.append(True, old[1:] != old[:-1])
+        new = fresh | np.append(True, key[1:] != key[:-1])
+        start = np.maximum.accumulate(np.where(new, spot, 0))
+        group[who] = old + start - np.maximum.accumulate(np.where(fresh, spot, 0))
+        alone = new & np.append(new[1:], True)
+        d += per
+        live = who[~alone & (star[who] + d <= ends[who])]
+    return np.unique(group, return_inverse=True)[1]
+
+
+def names_on_disk(t: np.ndarray, star: np.ndarray, ends: np.ndarray, memory: int) -> np.ndarray:
     raw = t.astype(">u4").tobytes()
-    ends = np.append(star[1:], len(t) - 1) + 1
-    # A substring that another continues is the larger: its last symbol is of type S.
     items = ((raw[4 * a : 4 * b] + b"\xff\xff\xff\xff", k) for k, (a, b) in enumerate(zip(star.tolist(), ends.tolist(), strict=True)))
     names = np.zeros(len(star), np.int64)
     name, before = -1, None
@@ -251,6 +440,14 @@ def _star_order(t: np.ndarray, star: np.ndarray, memory: int) -> np.ndarray:
         name += key != before
         before = key
         names[k] = name
-    if name + 1 == len(star):
+    return names
+
+
+def _star_order(t: np.ndarray, star: np.ndarray, memory: int) -> np.ndarray:
+    """The order of the suffixes at S* places."""
+    # A substring that another continues is the larger: its last symbol is of type S.
+    ends = np.append(star[1:], len(t) - 1) + 1
+    names = names_in_memory(t, star, ends) if len(star) <= memory else names_on_disk(t, star, ends, memory)
+    if int(names.max()) + 1 == len(star):
         return np.argsort(names)
     return suffix_order(names, 0, memory)[0]

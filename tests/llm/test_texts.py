@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from flightgrid.llm import fm_decontam, golay_simhash, induced_dedup, ngram_lm, pu_toxicity, sentencepiece_bpe, template_lines
+from flightgrid.llm import fm_decontam, golay_simhash, induced_dedup, induced_sort, ngram_lm, pu_toxicity, sentencepiece_bpe, template_lines
 from flightgrid.llm.induced_sort import suffix_order
 
 
@@ -277,6 +277,22 @@ def test_induced_sort_random():
             assert shared[j] == next((d for d in range(min(len(a), len(b))) if a[d] != b[d]), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("few", [1, 64, 10**9])
+def test_induced_sort_batches(monkeypatch, few):
+    monkeypatch.setattr(induced_sort, "FEW", few)
+    r = random.Random(few)
+    for _ in range(120):
+        monkeypatch.setattr(induced_sort, "BATCH", r.choice([1, 7, 1 << 16]))
+        core = [r.randint(1, r.choice([1, 2, 4])) for _ in range(r.randint(1, 150))]
+        t = core + core[: r.randint(0, 99)] + [1] * r.randint(0, 30) + core + [0]
+        sa, shared = suffix_order(np.array(t), most := r.choice([1, 5, 100]), memory=r.choice([3, 20, 1000]))
+        order = sorted(range(len(t)), key=lambda i: t[i:])
+        assert sa.tolist() == order
+        for j in range(1, len(t)):
+            a, b = t[order[j - 1] :], t[order[j] :]
+            assert shared[j] == next((d for d in range(min(len(a), len(b), most)) if a[d] != b[d]), min(len(a), len(b), most))
+
+
 def test_suffix_dedup(spark, docs, rows):
     raw = [(t or "").encode() for _, t in rows]
     seen = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
