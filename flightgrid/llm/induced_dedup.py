@@ -154,6 +154,15 @@ def _repeated_in_shard(width: int, memory: int):
     return run
 
 
+def _among(rows: DataFrame, keys: DataFrame, on: list[str], share: int) -> DataFrame:
+    """``rows`` whose ``on`` is in ``keys`` (one row a key; n: how many rows it has).
+    Keys of more than ``share`` rows, of which there are few, are broadcast, so no
+    task gets all rows of one of them; the others are joined by a shuffle."""
+    hot = F.broadcast(keys.where(F.col("n") > share).select(*on))
+    rest = rows.join(hot, on, "left_anti").join(keys.where(F.col("n") <= share).select(*on), on, "left_semi")
+    return rows.join(hot, on, "left_semi").unionByName(rest)
+
+
 def _attached(docs: DataFrame, small: DataFrame, values: str, most: int) -> DataFrame:
     """``docs`` with the columns of ``small`` (one row a key): by a broadcast where its
     rows and the entries of its array ``values`` are ``most`` at most (some 60 bytes
@@ -165,10 +174,11 @@ def _attached(docs: DataFrame, small: DataFrame, values: str, most: int) -> Data
 def repeated(rows: DataFrame, width: int = 200, gram: int = 100, block: int = 1_024, shard_bytes: int = 1 << 20, memory: int = 1_000_000, most: int = 100_000) -> DataFrame:
     """(row, a, b) of repeated stretches of the texts of (row, text)."""
     found = cut(_stretches(rows, width, gram), "stretches")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    some = cut(found.join(often, "anchor", "left_semi"), "stretches-repeated")
+    share = max(1, found.count() // (4 * max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    often = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    some = cut(_among(found, often, ["anchor"], share), "stretches-repeated")
     kinds = cut(some.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "a", "b")).alias("r")), "stretches-kinds")
-    whole = some.join(kinds.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("row", "a", "b")
+    whole = _among(some, kinds.where("n > 1"), ["anchor", "whole"], share).select("row", "a", "b")
     # Anchors go where their first stretch lies: those of copies of a text stay near
     # one another, a block of it at a time, so that their stretches join.
     home = F.xxhash64(F.col("low.row"), F.floor(F.col("low.a") / block))
