@@ -138,3 +138,29 @@ def forward(shots: DataFrame, least: float = 0.30) -> DataFrame:
     best = F.when(F.coalesce(F.abs(p), F.lit(-1.0)) >= F.coalesce(F.abs(q), F.lit(-1.0)), p).otherwise(q)
     sign = F.when(F.coalesce(best, F.lit(1.0)) >= 0, 1).otherwise(-1)
     return df.select("flight_id", "ord", sign.alias("sign"))
+
+
+def neighbour_steps(shots: DataFrame, least: float = 0.3) -> DataFrame:
+    """Unit vectors (px, py) from the shot before and (nx, ny) to the next; null where
+    there is none or the step is shorter than ``least`` metres."""
+    w = Window.partitionBy("flight_id").orderBy("ord")
+    out = {}
+    for names, sign, other in ((("px", "py"), 1, F.lag), (("nx", "ny"), -1, F.lead)):
+        x = sign * (F.col("east_m") - other("east_m").over(w))
+        y = sign * (F.col("north_m") - other("north_m").over(w))
+        size = F.sqrt(x * x + y * y)
+        out |= {n: F.when(size >= least, c / size) for n, c in zip(names, (x, y), strict=True)}
+    return shots.withColumns(out)
+
+
+def axis_vote(steps: DataFrame) -> DataFrame:
+    """Per flight: whether the steps run along the yaw axis rather than across it."""
+    s, c = F.sin(F.radians("flight_yaw_deg")), F.cos(F.radians("flight_yaw_deg"))
+    part = lambda k, x, y: F.coalesce(F.abs(F.col(f"{k}x") * x + F.col(f"{k}y") * y), F.lit(0.0))
+    along, across = (part("p", x, y) + part("n", x, y) for x, y in ((s, c), (c, -s)))
+    return steps.groupBy("flight_id").agg(F.sum(along).alias("along"), F.sum(across).alias("across")).withColumn("is_along", F.col("along") >= F.col("across"))
+
+
+def feature_ladder(frames: Column, rungs: tuple[int, ...] = (3_000, 12_000, 48_000), budget: float = 6e8, size: int = 40) -> Column:
+    """Features a frame to try: the first rung, and the later ones within the budget."""
+    return F.concat(F.array(F.lit(rungs[0])), F.filter(F.array(*map(F.lit, rungs[1:])), lambda r: frames * r * size <= budget))

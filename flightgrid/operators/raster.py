@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +55,13 @@ def majority(pixels: DataFrame, blob: str) -> DataFrame:
 def overview(pixels: DataFrame, factor: int) -> DataFrame:
     """Averages of blocks of ``factor`` by ``factor`` pixels."""
     return pixels.groupBy(F.floor(F.col("x") / factor).alias("x"), F.floor(F.col("y") / factor).alias("y")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+
+
+def large(pixels: DataFrame, blob: str, margin: float) -> DataFrame:
+    """(blob, area) of the blobs that could hide a disc of radius ``margin``."""
+    return pixels.groupBy(blob).agg(F.count("*").alias("area")).where(F.col("area") >= math.pi * max(margin, 1.0) ** 2)
+
+
+def scale_drift(poses: DataFrame, key: str, tolerance: float = 0.1) -> DataFrame:
+    """(key, least, most, outside): the range of ``drift`` and how many leave it."""
+    return poses.groupBy(key).agg(F.min("drift").alias("least"), F.max("drift").alias("most"), F.count_if(F.abs(F.col("drift") - 1) > tolerance).alias("outside"))

@@ -419,3 +419,85 @@ def j5_point_shots(spark, d):
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2")
 def telemetry_windows(spark, d):
     return telemetry.shots_per_window(_t(spark, d, "events")).withColumn("mean", r6("mean"))
+
+
+# ---- sizes, targets and drift
+
+@query(f"{SHOTS} select flight_id, ord, round(41 * (relative_alt_m / 3000), 4) as along, round(31 * (relative_alt_m / 3000), 4) as across from fx_shots")
+def e20_footprint_metres(spark, d):
+    gsd = F.col("relative_alt_m") / 3000
+    return _shots(spark, d).select("flight_id", "ord", r4(41 * gsd).alias("along"), r4(31 * gsd).alias("across"))
+
+
+@query(f"with p as ({PLACES}) select event_id, case when event_id % 2 = 0 then 0 else round(-degrees(atan(tan(radians(lon - (floor((lon + 180) / 6) * 6 - 177))) * sin(radians(lat)))), 4) + 0e0 end as rotation from p")
+def e23_expected_rotation(spark, d):
+    _t(spark, d, "events").createOrReplaceTempView("events")
+    turn = r4(-geo.convergence(F.col("lat"), F.col("lon")))
+    return spark.sql(PLACES).select("event_id", F.when(F.col("event_id") % 2 == 0, F.lit(0.0)).otherwise(turn).alias("rotation"))
+
+
+@query(f"{SHOTS}, c as (select flight_id, min(floor(east_m)) as x, min(floor(-north_m)) as y, min(relative_alt_m) / 3000 as gsd from fx_shots where ord = 0 group by flight_id) select flight_id, round(500000 + x * gsd, 4) + 0e0 as east, round(4800000 - y * gsd, 4) + 0e0 as north from c")
+def e24_canvas_origin(spark, d):
+    c = _shots(spark, d).where("ord = 0").groupBy("flight_id").agg(F.min(F.floor("east_m")).alias("x"), F.min(F.floor(-F.col("north_m"))).alias("y"), (F.min("relative_alt_m") / 3000).alias("gsd"))
+    return c.select("flight_id", r4(500000 + F.col("x") * F.col("gsd")).alias("east"), r4(4800000 - F.col("y") * F.col("gsd")).alias("north"))
+
+
+@query(f"{SHOTS}, k as (select * from fx_shots where ord >= 2) select flight_id, ord, round((east_m - first_value(east_m) over w) / 0.5e0, 4) + 0e0 as x, round(-(north_m - first_value(north_m) over w) / 0.5e0, 4) + 0e0 as y from k window w as (partition by flight_id order by ord)")
+def e25_gps_targets(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("flight_id").orderBy("ord")
+    shift = lambda c: (F.col(c) - F.first(c).over(w)) / 0.5
+    return _shots(spark, d).where("ord >= 2").select("flight_id", "ord", r4(shift("east_m")).alias("x"), r4(-shift("north_m")).alias("y"))
+
+
+@query(f"{SHOTS} select flight_id, ord, round(east_m, 4) + 0e0 as x, round(-north_m, 4) + 0e0 as y from fx_shots")
+def e26_pose_centres(spark, d):
+    w, h = F.lit(41.0), F.lit(31.0)
+    pose = geo.initial_pose(F.col("east_m"), -F.col("north_m"), F.col("flight_yaw_deg"), F.col("relative_alt_m") / 30, w, h)
+    x, y = geo.apply_pose(pose, w / 2, h / 2)
+    return _shots(spark, d).select("flight_id", "ord", r4(x).alias("x"), r4(y).alias("y"))
+
+
+_STEP = f"""{SHOTS}, st as (select *, east_m - lag(east_m) over w as ax, north_m - lag(north_m) over w as ay, lead(east_m) over w - east_m as bx, lead(north_m) over w - north_m as by_ from fx_shots window w as (partition by flight_id order by ord)),
+un as (select flight_id, ord, flight_yaw_deg, case when sqrt(ax * ax + ay * ay) >= 0.3 then ax / sqrt(ax * ax + ay * ay) end as px, case when sqrt(ax * ax + ay * ay) >= 0.3 then ay / sqrt(ax * ax + ay * ay) end as py,
+case when sqrt(bx * bx + by_ * by_) >= 0.3 then bx / sqrt(bx * bx + by_ * by_) end as nx, case when sqrt(bx * bx + by_ * by_) >= 0.3 then by_ / sqrt(bx * bx + by_ * by_) end as ny from st)"""
+
+
+@query(f"{_STEP} select flight_id, ord, " + ", ".join(f"round({c}, 4) + 0e0 as {c}" for c in ("px", "py", "nx", "ny")) + " from un")
+def w8_neighbour_steps(spark, d):
+    return flight.neighbour_steps(_shots(spark, d)).select("flight_id", "ord", *(r4(c).alias(c) for c in ("px", "py", "nx", "ny")))
+
+
+_DOT = "coalesce(abs({k}x * {x} + {k}y * {y}), 0)"
+_SIN, _COS = "sin(radians(flight_yaw_deg))", "cos(radians(flight_yaw_deg))"
+
+
+@query(f"{_STEP}, v as (select flight_id, sum({_DOT.format(k='p', x=_SIN, y=_COS)} + {_DOT.format(k='n', x=_SIN, y=_COS)}) as along, sum({_DOT.format(k='p', x=_COS, y='-' + _SIN)} + {_DOT.format(k='n', x=_COS, y='-' + _SIN)}) as across from un group by flight_id) select flight_id, round(along, 4) + 0e0 as along, round(across, 4) + 0e0 as across, along >= across as is_along from v")
+def a20_axis_vote(spark, d):
+    got = flight.axis_vote(flight.neighbour_steps(_shots(spark, d)))
+    return got.select("flight_id", r4("along").alias("along"), r4("across").alias("across"), "is_along")
+
+
+@query("select label as image, count(*) as features, count(*) * 40 as bytes from embeddings group by label")
+def a23_descriptor_counts(spark, d):
+    n = F.count("*")
+    return _t(spark, d, "embeddings").groupBy(F.col("label").alias("image")).agg(n.alias("features"), (n * 40).alias("bytes"))
+
+
+@query(f"{SHOTS}, n as (select flight_id, count(*) * 10 as n from fx_shots group by flight_id) select flight_id, cast(r.rung as int) as rung from n, (values (3000), (12000), (48000)) r(rung) where r.rung = 3000 or n * r.rung * 40 <= 600000000")
+def c2_feature_ladder(spark, d):
+    n = _shots(spark, d).groupBy("flight_id").agg((F.count("*") * 10).alias("n"))
+    return n.select("flight_id", F.explode(flight.feature_ladder(F.col("n"))).alias("rung"))
+
+
+@query(f"with p as ({PIXELS}) select blob, count(*) as area from p group by blob having count(*) >= pi() * greatest(9, 1) ** 2")
+def f13_large_blobs(spark, d):
+    return raster.large(_pixels(spark, d), "blob", 9.0)
+
+
+@query(f"{SHOTS}, s as (select flight_id, relative_alt_m / median(relative_alt_m) over (partition by flight_id) as s from fx_shots) select flight_id, round(min(s), 4) as least, round(max(s), 4) as most, count(*) filter (abs(s - 1) > 0.0002e0) as outside from s group by flight_id")
+def f15_scale_drift(spark, d):
+    shots = _shots(spark, d)
+    usual = shots.groupBy("flight_id").agg(F.median("relative_alt_m").alias("usual"))
+    return raster.scale_drift(shots.join(usual, "flight_id").withColumn("drift", F.col("relative_alt_m") / F.col("usual")), "flight_id", 0.0002).select("flight_id", F.round("least", 4).alias("least"), F.round("most", 4).alias("most"), "outside")
