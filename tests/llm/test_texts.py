@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from flightgrid.llm import fm_decontam, golay_simhash, induced_dedup, induced_sort, ngram_lm, pu_toxicity, sentencepiece_bpe, template_lines
+from flightgrid.llm import fm_decontam, golay_near, golay_simhash, induced_dedup, induced_sort, ngram_lm, pu_toxicity, sentencepiece_bpe, template_lines
 from flightgrid.llm.induced_sort import suffix_order
 
 
@@ -233,6 +233,30 @@ def test_simhash(spark, docs, rows):
     assert {r.doc_id for r in kept.collect()} == set(least.values())
 
 
+def test_near_copies(spark):
+    r = random.Random(6)
+    vocabulary = ["".join(r.choices("abcdefgh", k=5)) for _ in range(2000)]
+    base = [[r.choice(vocabulary) for _ in range(300)] for _ in range(30)]
+    texts = [" ".join(w) for w in base]
+    for w in base[:20]:  # one to three words changed: similarity 0.9 or more
+        for n in range(1, 4):
+            c = list(w)
+            for at in r.sample(range(300), n):
+                c[at] = r.choice(vocabulary)
+            texts.append(" ".join(c).upper())
+    for w in base[20:]:  # a half shared: similarity a third
+        texts.append(" ".join(w[:150] + [r.choice(vocabulary) for _ in range(150)]))
+    n = len(texts)
+    rows = [*enumerate(texts), (n, texts[0]), (5, texts[5]), (n + 1, None), (n + 2, ""), (n + 3, " "), (None, "alone here"), (n + 4, "Two words"), (n + 5, "two words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as f", "2 as row", "3 as id")
+    kept = golay_near.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [*range(30), 5, *range(90, 100), n + 1, n + 4, None]
+    assert sorted((x.doc_id for x in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert by_row(golay_near.keep_one(docs, small=1)) == by_row(kept)
+    assert golay_near.keep_one(docs.limit(0)).count() == 0
+
+
 def test_golay_keys_cover_two_errors():
     r = random.Random(2)
     for _ in range(400):
