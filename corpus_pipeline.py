@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flightgrid.llm import fm_decontam, golay_simhash, pu_toxicity, sentencepiece_bpe, template_lines
+from flightgrid.llm import fm_decontam, golay_near, pu_toxicity, sentencepiece_bpe, template_lines
 from flightgrid.llm._store import cut, table
 
 
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return golay_simhash.keep_one(docs)
+    """One document of each group of near duplicates (five words, 0.8) stays."""
+    return golay_near.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
