@@ -7,15 +7,23 @@ Each of ``tables`` tables draws 23 bits of it, which the Golay code decodes to n
 codewords (golay_simhash.codewords), and ``EXACT`` bits that must agree; the keys of
 both sides are joined.  Candidates are verified: first by the bits of the whole
 fingerprint (``loose``), then exactly, by the Jaccard similarity of the shingles of
-both whole texts.  Candidate search is probabilistic: simulated, 24 tables find 0.83, 0.95
-and 0.99 of pairs of texts of one size at the similarities 0.8, 0.85 and 0.9, before
-``loose``; what is linked is exact.
+both whole texts.  This first path is probabilistic (simulated, 24 tables find 0.83,
+0.95 and 0.99 of pairs of texts of one size at the similarities 0.8, 0.85 and 0.9);
+it only has to join most of each class cheaply.
+
+The second path is complete.  Of a text's n shingles, ordered by hash, the first
+n - ceil(least * n) + 1 are its prefix; two texts of similarity ``least`` or more share
+a shingle of both prefixes.  All pairs of nodes that share one and that the first path
+left in different classes are candidates, unless a proven bound excludes them: the
+sizes, the places of the shared shingle, or the parities of the counts of shingles in
+512 cells (cells that differ are at most as many as shingles of one side only).  What
+is left is verified exactly, so that the classes are those of all pairs.
 
 Texts with equal fingerprints and equal shingles are one node (named by a hash of its
-distinct shingles), so copies never meet.  In a bucket of at most ``small`` nodes all
-are paired; larger ones, which only groups of many different near copies make, pair
-each node with the least one of its bucket in the table's own order: every bucket then
-costs a number of pairs that is linear in its nodes.
+distinct shingles), so copies never meet.  In the first path, a bucket of at most
+``small`` nodes pairs all; larger ones, which only groups of many different near copies
+make, pair each node with the least one of its bucket in the table's own order.  In the
+second, the rows of a bucket's largest class never meet each other.
 
 Defined cases: null, empty and blank texts have no shingles and are copies of each
 other; fewer words than a shingle make one shingle; A-Z are lower-cased; repeated rows
@@ -26,10 +34,11 @@ through; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightgrid.llm._store import cut
@@ -42,6 +51,7 @@ CODE, EXACT = 23, 13
 SALTS = mix(np.arange(1, LANES + 1, dtype=np.uint64))
 PLACES = mix(np.arange(101, 164, dtype=np.uint64)) | np.uint64(1)
 PRINT = [f"p{i}" for i in range(LANES)]
+CELLS = [f"q{i}" for i in range(LANES)]
 
 
 def shingle_sets(col: pa.Array, width: int) -> list[np.ndarray]:
@@ -71,19 +81,35 @@ def long_print(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)
 
 
-def prints(docs: DataFrame, width: int) -> DataFrame:
-    """(id, row, f, p0..p7): ``row`` names equal rows, ``f`` equal shingle sets."""
-    names = ["id", "row", "f", *PRINT]
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in ``BITS`` cells."""
+    counts = np.bincount((shingles >> np.uint64(3)).astype(np.int64) % BITS, minlength=BITS)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view(np.int64)
+
+
+def prefix(shingles: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles by hash, of which two sets of similarity ``least`` share one."""
+    n = len(shingles)
+    return shingles[: n - int(np.ceil(least * n - 1e-6)) + 1].view(np.int64)
+
+
+def prints(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """(id, row, f, n, p0..p7, q0..q7, keys): ``row`` names equal rows, ``f`` equal
+    shingle sets; ``n`` shingles, their fingerprint, parities and prefix."""
+    names = ["id", "row", "f", "n", *PRINT, *CELLS, "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 sets = shingle_sets(part.column(2), width)
-                p = np.stack([long_print(s) for s in sets])
+                p = np.stack([np.concatenate([long_print(s), parities(s)]) for s in sets])
+                n = np.array([len(s) for s in sets], np.int64)
                 f = np.array([np.bitwise_xor.reduce(mix(s)) ^ mix(np.array([len(s)], np.uint64))[0] for s in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(f.view(np.int64)), *(pa.array(p[:, i]) for i in range(LANES))], names)
+                keys = pa.array([prefix(s, least) for s in sets], pa.list_(pa.int64()))
+                lanes = (pa.array(p[:, i]) for i in range(2 * LANES))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(f.view(np.int64)), pa.array(n), *lanes, keys], names)
 
-    return docs.select("id", "row", "text").mapInArrow(run, "id long, row long, f long, " + ", ".join(f"{p} long" for p in PRINT))
+    return docs.select("id", "row", "text").mapInArrow(run, "id long, row long, f long, n long, " + "".join(f"{p} long, " for p in PRINT + CELLS) + "keys array<long>")
 
 
 def keyed(nodes: DataFrame, tables: int) -> DataFrame:
@@ -119,15 +145,26 @@ def candidates(nodes: DataFrame, tables: int, small: int, loose: int) -> DataFra
     heads = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("f", table).alias("o"), "f")).alias("h")).select("key", F.col("h.f").alias("head"))
     star = many.join(F.broadcast(heads) if heads.count() <= 500_000 else heads, "key").where("f <> head").select(F.least("f", "head").alias("a"), F.greatest("f", "head").alias("b"))
     pairs = pairs.unionAll(star).distinct()
-    left = nodes.select(F.col("f").alias("a"), *(F.col(p).alias(f"a_{p}") for p in PRINT))
-    right = nodes.select(F.col("f").alias("b"), *(F.col(p).alias(f"b_{p}") for p in PRINT))
-    apart = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PRINT[1:]), F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))))
-    return pairs.join(left, "a").join(right, "b").where(apart <= loose).select("a", "b")
+    return with_both(pairs, nodes, PRINT).where(apart(PRINT) <= loose).select("a", "b")
+
+
+def with_both(pairs: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame:
+    """``pairs`` with the columns ``names`` of both nodes, as a_... and b_..."""
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("f").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in names)), side)
+    return pairs
+
+
+def apart(names: list[str]) -> Column:
+    """Bits in which the lanes ``names`` of a and b differ."""
+    return reduce(Column.__add__, (F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in names))
 
 
-def links(docs: DataFrame, nodes: DataFrame, width: int, least: float, tables: int, small: int, loose: int) -> DataFrame:
-    """(a, b) of nodes whose texts have a similarity of ``least`` or more."""
-    found = cut(candidates(nodes, tables, small, loose), "near-candidates")
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b) of ``pairs`` whose texts have a similarity of ``least`` or more."""
+    # Texts of that similarity differ in so many shingles at most.
+    most = (1 - least) / (1 + least) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    found = cut(with_both(pairs, nodes, ["n", *CELLS]).where(apart(CELLS) <= most).select("a", "b"), "near-candidates")
     asked = found.select(F.col("a").alias("f")).unionAll(found.select(F.col("b").alias("f"))).distinct()
     texts = docs.join(nodes.select("f", "row").join(asked, "f"), "row").select("f", "text").dropDuplicates(["f"])
     texts = cut(texts, "near-texts")
@@ -146,12 +183,50 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, least: float, tables: i
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def shared_prefixes(nodes: DataFrame) -> DataFrame:
+    """(key, f, n, at) of the shingles that are in the prefixes of several nodes."""
+    rows = nodes.select("f", "n", F.posexplode("keys").alias("at", "key"))
+    several = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    return cut(rows.join(several, "key").select("key", "f", "n", "at"), "near-prefixes")
+
+
+def divided(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``shared`` with their class, and (key, root, rows, of, main) of the keys
+    of several classes: rows of the class and of the key, and whether it is the largest."""
+    named = shared.join(roots.select(F.col("node").alias("f"), "root"), "f")
+    each = named.groupBy("key", "root").agg(F.count("*").alias("rows"))
+    whole = each.groupBy("key").agg(F.sum("rows").alias("of"), F.count("*").alias("classes"), F.max(F.struct("rows", "root")).alias("top")).where("classes > 1")
+    parts = cut(each.join(whole, "key").select("key", "root", "rows", "of", (F.col("root") == F.col("top.root")).alias("main")), "near-parts")
+    return cut(named.join(parts.select("key", "root", "main"), ["key", "root"]), "near-divided"), parts
+
+
+def crossing(rows: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b), a < b, of different classes that share a key and that neither
+    their sizes nor the places of the key exclude."""
+    x, y = (rows.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("f", "n", "at", "root", "main"))) for s in "xy")
+    once = F.col("y_main") | (F.col("x_f") < F.col("y_f"))
+    low, high = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    # Shared shingles: those before the key, the key and those after it, at most.
+    most = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    near = (low >= least * high - 1e-6) & (most >= least / (1 + least) * (low + high) - 1e-6)
+    both = x.where("not x_main").join(y, "key").where(once & (F.col("x_root") != F.col("y_root")) & near)
+    return both.select(F.least("x_f", "y_f").alias("a"), F.greatest("x_f", "y_f").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, nodes: DataFrame, width: int, least: float, tables: int, small: int, loose: int) -> DataFrame:
+    """(node, root) of the classes that all pairs of similarity ``least`` or more make."""
+    links = cut(verified(docs, nodes, candidates(nodes, tables, small, loose), width, least), "near-links")
+    rows, _ = divided(shared_prefixes(nodes), cut(connected(nodes, links), "near-roots"))
+    return connected(nodes, links.unionAll(verified(docs, nodes, crossing(rows, least), width, least)))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, tables: int = 24, small: int = 64, loose: int = 104) -> DataFrame:
     """``docs`` with the rows of least ``key`` of each class of near copies."""
     name = F.xxhash64(F.col(key).cast("string"), F.col(text))
     rows = docs.select(F.col(key).cast("long").alias("id"), name.alias("row"), F.col(text).alias("text"))
-    found = cut(prints(rows, width), "near-prints")
-    nodes = cut(found.groupBy("f").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("low"), *(F.first(p).alias(p) for p in PRINT)).select("f", "low", F.col("low.row").alias("row"), *PRINT), "near-nodes")
-    roots = connected(nodes, links(rows.select("row", "text"), nodes, width, least, tables, small, loose))
+    found = cut(prints(rows, width, least), "near-prints")
+    same = ["n", *PRINT, *CELLS, "keys"]
+    nodes = cut(found.groupBy("f").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("low"), *(F.first(x).alias(x) for x in same)).select("f", "low", F.col("low.row").alias("row"), *same), "near-nodes")
+    roots = classes(rows.select("row", "text"), nodes, width, least, tables, small, loose)
     chosen = roots.join(nodes.select(F.col("f").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__row"))
     return docs.withColumn("__row", name).join(chosen.distinct(), "__row", "left_semi").select(*docs.columns)

@@ -257,6 +257,43 @@ def test_near_copies(spark):
     assert golay_near.keep_one(docs.limit(0)).count() == 0
 
 
+def near_classes(texts, width=5, least=0.8):
+    """The first text of each class, by brute force."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if min(len(sets[i]), len(sets[j])) >= least * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_near_copies_at_the_threshold(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("abcdefgh", k=5)) for _ in range(2000)]
+    texts = []
+    for n in [*range(5, 16)] * 4:  # short texts, and the same with a word more
+        w = r.choices(vocabulary, k=n)
+        texts += [" ".join(w), " ".join([*w, r.choice(vocabulary)])]
+    for _ in range(60):  # similarity 0.80 to 0.85, by words put at the end
+        w = r.choices(vocabulary, k=204)
+        texts += [" ".join(w), " ".join(w + r.choices(vocabulary, k=r.randint(36, 50)))]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    want = near_classes(texts)
+    assert 104 < len(want) < 160
+    assert sorted(x.doc_id for x in golay_near.keep_one(docs).collect()) == want
+
+
 def test_golay_keys_cover_two_errors():
     r = random.Random(2)
     for _ in range(400):
