@@ -23,7 +23,10 @@ Texts with equal fingerprints and equal shingles are one node (named by a hash o
 distinct shingles), so copies never meet.  In the first path, a bucket of at most
 ``small`` nodes pairs all; larger ones, which only groups of many different near copies
 make, pair each node with the least one of its bucket in the table's own order.  In the
-second, the rows of a bucket's largest class never meet each other.
+second, the rows of a bucket's largest class never meet each other, and a bucket with
+more than ``small`` rows outside it takes new heads first: one of the largest class and
+one of the others, until the pairs that are left over don't halve any more.  Those are
+then all bounded or verified, so no pair depends on a head.
 
 Defined cases: null, empty and blank texts have no shingles and are copies of each
 other; fewer words than a shingle make one shingle; A-Z are lower-cased; repeated rows
@@ -35,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -213,10 +217,33 @@ def crossing(rows: DataFrame, least: float) -> DataFrame:
     return both.select(F.least("x_f", "y_f").alias("a"), F.greatest("x_f", "y_f").alias("b")).distinct()
 
 
+def stars(rows: DataFrame, parts: DataFrame, small: int, turn: int) -> tuple[DataFrame, int]:
+    """Pairs of the rows of wide keys with the heads of a turn, and the pairs that these
+    keys would cost ``crossing``."""
+    outside = parts.where("not main").groupBy("key").agg(F.sum("rows").alias("outside"), F.first("of").alias("of"))
+    wide = outside.where(F.col("outside") > small)
+    cost = wide.agg(F.sum(F.col("outside") * F.col("of"))).first()[0] or 0
+    many = rows.join(wide.select("key"), "key")
+    heads = many.groupBy("key", "main").agg(F.min(F.struct(F.xxhash64("f", "key", F.lit(turn)).alias("o"), "f", "root")).alias("h")).select("key", F.col("h.f").alias("head"), F.col("h.root").alias("of_root"))
+    star = many.join(heads, "key").where("root <> of_root")
+    return star.select(F.least("f", "head").alias("a"), F.greatest("f", "head").alias("b")).distinct(), cost
+
+
 def classes(docs: DataFrame, nodes: DataFrame, width: int, least: float, tables: int, small: int, loose: int) -> DataFrame:
     """(node, root) of the classes that all pairs of similarity ``least`` or more make."""
     links = cut(verified(docs, nodes, candidates(nodes, tables, small, loose), width, least), "near-links")
-    rows, _ = divided(shared_prefixes(nodes), cut(connected(nodes, links), "near-roots"))
+    shared = shared_prefixes(nodes)
+    rows, parts = divided(shared, cut(connected(nodes, links), "near-roots"))
+    star, cost = stars(rows, parts, small, 0)
+    for turn in count(1):
+        if not cost:
+            break
+        links = links.unionAll(cut(verified(docs, nodes, star, width, least), "near-links"))
+        rows, parts = divided(shared, cut(connected(nodes, links), "near-roots"))
+        before = cost
+        star, cost = stars(rows, parts, small, turn)
+        if 2 * cost > before:
+            break
     return connected(nodes, links.unionAll(verified(docs, nodes, crossing(rows, least), width, least)))
 
 

@@ -294,6 +294,23 @@ def test_near_copies_at_the_threshold(spark):
     assert sorted(x.doc_id for x in golay_near.keep_one(docs).collect()) == want
 
 
+def chained_variants():
+    """300 texts of which each is near to its neighbours only, in a mixed order."""
+    r = random.Random(9)
+    vocabulary = ["".join(r.choices("abcdefgh", k=5)) for _ in range(2000)]
+    words = r.choices(vocabulary, k=204 + 299 * 20)
+    texts = [" ".join(words[i * 20 : i * 20 + 204]) for i in range(300)]
+    r.shuffle(texts)
+    return texts
+
+
+def test_near_copies_in_large_buckets(spark):
+    texts = chained_variants()
+    assert near_classes(texts) == [0]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert [x.doc_id for x in golay_near.keep_one(docs, small=1).collect()] == [0]
+
+
 def test_golay_keys_cover_two_errors():
     r = random.Random(2)
     for _ in range(400):
