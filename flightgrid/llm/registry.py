@@ -35,7 +35,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return template_lines.digests(table(spark, sf_dir, "documents"))
+    return template_lines.digests(table(spark, sf_dir, "documents"), template_lines.PASSAGE)
 
 
 def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,14 @@ belongs to none.  A template that occurs in at least ``min_docs``
 documents is recurring, and its lines are dropped from every document but the one with
 the smallest id, which keeps the passage in the corpus once.
 
+With ``passage`` words given, repeats of so many words are dropped from two documents on,
+as they don't occur by chance: templates of at least ``passage`` words, and passages
+within or across lines.  For these, windows of 4/5 of ``passage`` words start wherever the
+hash of three words is the least of a run of starts; each passage of ``passage`` words
+holds a window, at the same place in all documents.  Words of recurring windows are cut
+from their lines (up to 1/5 of ``passage`` words stay at either end of a passage), and a
+line of which nothing is left is dropped; ``n_dropped`` counts lines that are dropped whole.
+
 Templates are 64-bit hashes; a slice of documents is counted before the shuffle, so a
 line in a third of all documents is one row a slice.  Recurring templates are sent to
 the executors where there are at most ``broadcast_keys`` of them; beyond that, marks
@@ -37,18 +45,58 @@ from flightgrid.llm._words import SPACED, chunks, hash_spans, mix, split, text_b
 PARTS = 5
 LEAST_LONG = 10
 VARIABLE = np.uint64(0x5BD1E995)
+BLANK = b" \t\n\v\f\r"
 DIGIT = np.zeros(256, bool)
 DIGIT[0x30:0x3A] = True
 
 
-def templates(col: pa.Array, least: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes of all lines, with the text and the line (in its text) of each."""
+#: Words of a passage that recurs from two documents on.
+PASSAGE = 50
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
+def windows(col: pa.Array, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the windows of all texts, with the text and the first and last byte of
+    each (in its text)."""
+    data, offsets = text_bytes(col)
+    starts, ends, doc = split(data, offsets, SPACED)
+    runs = passage // 5
+    width = passage - runs + 1
+    n = len(starts)
+    none = np.zeros(0, np.int64)
+    if n < passage:
+        return np.zeros(0, np.uint64), none, none, none
+    digits = np.concatenate([[0], np.cumsum(DIGIT[data[: int(offsets[-1])]])])
+    variable = digits[ends] > digits[starts]
+    word = mix(np.where(variable, VARIABLE, hash_spans(data, starts, ends)))
+    with np.errstate(over="ignore"):
+        order = mix(word[:-2] + mix(word[1:-1] + mix(word[2:])))
+        low, at = order[: n - 1 - runs].copy(), np.arange(n - 1 - runs)
+        for j in range(1, runs):
+            less = order[j : n - 1 - runs + j] <= low
+            low[less] = order[j : n - 1 - runs + j][less]
+            at[less] = np.flatnonzero(less) + j
+        at = np.unique(at)
+        at = at[at + width <= n]
+        at = at[doc[at] == doc[at + width - 1]]
+        fields = np.concatenate([[0], np.cumsum(variable)])
+        at = at[2 * (fields[at + width] - fields[at]) <= width]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * np.cumprod(np.full(n, BASE)))])
+        back = np.cumprod(np.full(n, INVERSE))
+        h = mix((total[at + width] - total[at]) * back[at] ^ VARIABLE)
+    return h, doc[at], starts[at] - offsets[doc[at]], ends[at + width - 1] - offsets[doc[at]]
+
+
+def templates(col: pa.Array, least: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hashes of all lines, with the text, the line (in its text) and the words
+    of each."""
     data, offsets = text_bytes(col)
     n = int(offsets[-1])
     starts, ends, doc = split(data, offsets, SPACED)
     none = np.zeros(0, np.int64)
     if not len(starts):
-        return np.zeros(0, np.uint64), none, none
+        return np.zeros(0, np.uint64), none, none, none
     digits = np.concatenate([[0], np.cumsum(DIGIT[data[:n]])])
     variable = digits[ends] > digits[starts]
     word = np.where(variable, VARIABLE, hash_spans(data, starts, ends))
@@ -74,41 +122,55 @@ def templates(col: pa.Array, least: int, depth: int) -> tuple[np.ndarray, np.nda
             keys.append(mix(h[rows] ^ mix(size[rows].astype(np.uint64) * np.uint64(8) + np.uint64(p + 1))))
             lines.append(rows)
     line = np.concatenate(lines)
-    return np.concatenate(keys), doc[first][line], in_text[first][line]
+    return np.concatenate(keys), doc[first][line], in_text[first][line], size[line]
 
 
-def recurring(docs: DataFrame, key: str = "doc_id", min_docs: int = 10, least: int = 4, depth: int = 2) -> DataFrame:
-    """(template, docs, first): templates of at least ``min_docs`` documents."""
+def _units(col: pa.Array, least: int, depth: int, passage: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the templates and windows of all texts, the text of each, and whether
+    it recurs from two documents on."""
+    h, doc, _, size = templates(col, least, depth)
+    if passage is None:
+        return h, doc, np.zeros(len(h), bool)
+    more, of, _, _ = windows(col, passage)
+    return np.concatenate([h, more]), np.concatenate([doc, of]), np.concatenate([size >= passage, np.ones(len(more), bool)])
+
+
+def recurring(docs: DataFrame, key: str = "doc_id", min_docs: int = 10, least: int = 4, depth: int = 2, passage: int | None = None) -> DataFrame:
+    """(template, docs, first): templates of at least ``min_docs`` documents, and long
+    ones and windows of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                h, doc, _ = templates(part.column(1), least, depth)
+                h, doc, long = _units(part.column(1), least, depth, passage)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 if not len(h):
                     continue
-                pair = _pairs(h, doc)
+                pair = _pairs(h, doc, long)
                 new = np.flatnonzero(np.append(True, pair[0][1:] != pair[0][:-1]))
                 low = np.minimum.reduceat(ids[pair[1].astype(np.int64)], new)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0][new].view(np.int64)), pa.array(np.diff(np.append(new, pair.shape[1]))), pa.array(low.astype(np.int64))], ["template", "docs", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0][new].view(np.int64)), pa.array(np.diff(np.append(new, pair.shape[1]))), pa.array(low.astype(np.int64)), pa.array(pair[2][new] > 0)], ["template", "docs", "first", "long"])
 
     rows = docs.select(F.coalesce(F.col(key), F.lit(2**63 - 1)).cast("long").alias("id"), "text").where("text is not null")
-    counted = rows.mapInArrow(run, "template long, docs long, first long")
-    return counted.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
+    counted = rows.mapInArrow(run, "template long, docs long, first long, long boolean")
+    found = counted.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.bool_or("long").alias("long"))
+    return found.where(F.col("docs") >= F.when(F.col("long"), 2).otherwise(min_docs)).select("template", "docs", "first")
 
 
-def _pairs(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Distinct (template, text), sorted."""
+def _pairs(h: np.ndarray, doc: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Distinct (template, text, long), sorted."""
     order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
+    h, doc, long = h[order], doc[order], long[order]
     new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
-    return np.stack([h[new], doc[new].astype(np.uint64)])
+    return np.stack([h[new], doc[new].astype(np.uint64), long[new].astype(np.uint64)])
 
 
 RESULT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
 
 
-def _without(text: str | None, gone: set[int] | None) -> dict | None:
+def _without(text: str | None, gone: set[int] | None, spans: list[tuple[int, int]] | None) -> dict | None:
+    if text is not None and spans:
+        return _cut_out(text, gone or set(), spans)
     if text is None:
         return {"n_lines": 0, "n_dropped": 0, "kept": None}
     if not gone:
@@ -117,9 +179,59 @@ def _without(text: str | None, gone: set[int] | None) -> dict | None:
     return {"n_lines": len(lines), "n_dropped": len(gone), "kept": "\n".join(x for i, x in enumerate(lines) if i not in gone)}
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", min_docs: int = 10, least: int = 4, depth: int = 2, broadcast_keys: int = 2_000_000, out: str = "lines") -> DataFrame:
+def _cut_out(text: str, gone: set[int], spans: list[tuple[int, int]]) -> dict:
+    """The text without the lines ``gone`` and the bytes of ``spans``."""
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    lines, at, k = text.encode().split(b"\n"), 0, 0
+    kept = []
+    for i, line in enumerate(lines):
+        end = at + len(line)
+        while k < len(merged) and merged[k][1] <= at:
+            k += 1
+        parts, here, j = [], at, k
+        while j < len(merged) and merged[j][0] < end:
+            parts.append(line[max(here - at, 0) : max(merged[j][0] - at, 0)].strip(BLANK))
+            here = min(merged[j][1], end)
+            j += 1
+        if i not in gone:
+            if j == k or not line.strip(BLANK):
+                kept.append(line)
+            else:
+                rest = b" ".join(x for x in (*parts, line[here - at :].strip(BLANK)) if x)
+                kept += [rest] if rest else []
+        at = end + 1
+    return {"n_lines": len(lines), "n_dropped": len(lines) - len(kept), "kept": b"\n".join(kept).decode()}
+
+
+def _lost(text: pa.Array, least: int, depth: int, passage: int | None, drops) -> tuple[list[set[int] | None], list[list[tuple[int, int]] | None]]:
+    """Lines and byte spans of each text whose templates and windows ``drops``, given
+    their hashes and texts, marks."""
+    gone: list[set[int] | None] = [None] * len(text)
+    spans: list[list[tuple[int, int]] | None] = [None] * len(text)
+    h, doc, line, _ = templates(text, least, depth)
+    drop = drops(h, doc)
+    for d, i in zip(doc[drop].tolist(), line[drop].tolist(), strict=True):
+        if gone[d] is None:
+            gone[d] = set()
+        gone[d].add(i)
+    if passage is not None:
+        h, doc, first, last = windows(text, passage)
+        drop = drops(h, doc)
+        for d, a, b in zip(doc[drop].tolist(), first[drop].tolist(), last[drop].tolist(), strict=True):
+            if spans[d] is None:
+                spans[d] = []
+            spans[d].append((a, b))
+    return gone, spans
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", min_docs: int = 10, least: int = 4, depth: int = 2, broadcast_keys: int = 2_000_000, out: str = "lines", passage: int | None = None) -> DataFrame:
     """``docs`` with a struct column ``out``: lines, lines dropped, and the kept text."""
-    found = cut(recurring(docs, key, min_docs, least, depth), "templates")
+    found = cut(recurring(docs, key, min_docs, least, depth, passage), "templates")
     kept = [c for c in docs.columns if c != out]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, RESULT)])
     small = found.count() <= broadcast_keys  # 16 bytes each
@@ -133,25 +245,23 @@ def dedup(docs: DataFrame, key: str = "doc_id", min_docs: int = 10, least: int =
             for batch in batches:
                 for part in chunks(batch, "text"):
                     text = part.column(part.schema.get_field_index("text"))
-                    gone: list[set[int] | None] = [None] * part.num_rows
-                    h, doc, line = templates(text, least, depth)
-                    if len(keys) and len(h):
-                        ids = _ids(part, key)
+                    ids = _ids(part, key)
+
+                    def drops(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+                        if not len(keys):
+                            return np.zeros(len(h), bool)
                         at = np.searchsorted(keys, h)
                         at[at == len(keys)] = 0
-                        drop = (keys[at] == h) & (first[at] < ids[doc])
-                        for d, i in zip(doc[drop].tolist(), line[drop].tolist(), strict=True):
-                            if gone[d] is None:
-                                gone[d] = set()
-                            gone[d].add(i)
-                    yield _rows(part, kept, text, gone, out)
+                        return (keys[at] == h) & (first[at] < ids[doc])
+
+                    yield _rows(part, kept, text, *_lost(text, least, depth, passage, drops), out)
 
         return docs.mapInArrow(run, schema)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                h, doc, _ = templates(part.column(1), least, depth)
+                h, doc, _ = _units(part.column(1), least, depth, passage)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_ids(part, "id")[doc])], ["template", "id"])
 
     # A document's recurring templates come to it; it finds their lines again.
@@ -159,21 +269,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", min_docs: int = 10, least: int =
     marks = by.mapInArrow(own, "template long, id long").join(found, "template").where("first < id")
     per = marks.groupBy("id").agg(F.collect_set("template").alias("__t"))
     wide = docs.withColumn("__id", F.coalesce(F.col(key), F.lit(2**63 - 1)).cast("long")).join(per.withColumnRenamed("id", "__id"), "__id", "left")
-    return wide.mapInArrow(_by_templates(kept, least, depth, out), schema)
+    return wide.mapInArrow(_by_templates(kept, least, depth, passage, out), schema)
 
 
-def _by_templates(kept: list[str], least: int, depth: int, out: str):
+def _by_templates(kept: list[str], least: int, depth: int, passage: int | None, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 text = part.column(part.schema.get_field_index("text"))
-                known = [set(x or ()) for x in part.column(part.schema.get_field_index("__t")).to_pylist()]
-                gone: list[set[int] | None] = [None] * part.num_rows
-                h, doc, line = templates(text, least, depth)
-                for k, d, i in zip(h.view(np.int64).tolist(), doc.tolist(), line.tolist(), strict=True):
-                    if k in known[d]:
-                        gone[d] = (gone[d] or set()) | {i}
-                yield _rows(part, kept, text, gone, out)
+                known = [np.array(x or (), np.int64) for x in part.column(part.schema.get_field_index("__t")).to_pylist()]
+                own = np.repeat(np.arange(len(known)), [len(x) for x in known])
+                pairs = set(zip(own.tolist(), np.concatenate([*known, np.zeros(0, np.int64)]).tolist(), strict=True))
+
+                def drops(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+                    return np.fromiter((x in pairs for x in zip(doc.tolist(), h.view(np.int64).tolist(), strict=True)), bool, len(h))
+
+                yield _rows(part, kept, text, *_lost(text, least, depth, passage, drops), out)
 
     return run
 
@@ -184,20 +295,20 @@ def _ids(part: pa.RecordBatch, key: str) -> np.ndarray:
     return pc.fill_null(part.column(part.schema.get_field_index(key)).cast(pa.int64()), 2**63 - 1).to_numpy(zero_copy_only=False)
 
 
-def _rows(part: pa.RecordBatch, kept: list[str], text: pa.Array, gone: list, out: str) -> pa.RecordBatch:
-    result = pa.array([_without(t, g) for t, g in zip(text.to_pylist(), gone, strict=True)], pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())]))
+def _rows(part: pa.RecordBatch, kept: list[str], text: pa.Array, gone: list, spans: list, out: str) -> pa.RecordBatch:
+    result = pa.array([_without(t, g, c) for t, g, c in zip(text.to_pylist(), gone, spans, strict=True)], pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())]))
     return pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), result], [*kept, out])
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    got = dedup(docs.select("doc_id", "text"))
+def digests(docs: DataFrame, passage: int | None = None) -> DataFrame:
+    got = dedup(docs.select("doc_id", "text"), passage=passage)
     f = F.col("lines")
     return got.select("doc_id", f.n_lines.alias("n_lines"), f.n_dropped.alias("n_dropped"), F.sha2(F.coalesce(f.kept, F.lit("")), 256).alias("kept_sha256"))
 
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
     """``docs`` with the kept text, and its length where there is a column n_chars."""
-    got = dedup(docs, out="__lines").withColumn("text", F.col("__lines.kept"))
+    got = dedup(docs, out="__lines", passage=PASSAGE).withColumn("text", F.col("__lines.kept"))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return got.select(*docs.columns)

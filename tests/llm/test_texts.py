@@ -200,6 +200,27 @@ def test_line_templates(spark, docs, rows):
     assert template_lines.digests(docs.limit(0)).count() == 0
 
 
+def test_passages_of_two_documents(spark):
+    r = random.Random(11)
+    say = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    passages = [say(n) for n in (50, 60, 120)]
+    short, long = say(30), say(70)
+    texts = []
+    for k, p in enumerate(passages):  # within lines, and across a line break
+        texts += [f"{say(20)} {p} {say(20)}", f"{say(9 + k)}\n{p.replace(' ', chr(10), 1)} {say(25)}"]
+    texts += [f"{say(5)}\n{long}", f"{say(5)}\n{long}", f"{say(5)}\n{short}", f"{say(5)}\n{short}", say(200)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = [x.text for x in template_lines.drop_recurring(docs).orderBy("doc_id").collect()]
+    for k, p in enumerate(passages):
+        assert got[2 * k] == texts[2 * k]
+        left, was = set(got[2 * k + 1].split()), set(texts[2 * k + 1].split())
+        assert was - set(p.split()) <= left and len(left & set(p.split())) <= 20
+    assert got[6] == texts[6] and got[7] == texts[7].split("\n")[0]
+    assert got[8:] == texts[8:]
+    a = template_lines.dedup(docs, passage=50, broadcast_keys=0)
+    assert by_row(a) == by_row(template_lines.dedup(docs, passage=50))
+
+
 def fingerprint(t):
     w = spaced(t)
     s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
