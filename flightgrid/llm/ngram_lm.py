@@ -552,10 +552,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Learn from the rows that are not held out; score every row."""
+def digests(docs: DataFrame, least: int = 2) -> DataFrame:
+    """Learn from the rows that are not held out, with the n-grams of ``least``
+    occurrences or more; score every row."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
     rows = docs.select("doc_id", "text", held.alias("held_out"))
-    model = train(rows.where("not held_out"))
+    model = train(rows.where("not held_out"), least=least)
     got = score(rows, model)
     return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

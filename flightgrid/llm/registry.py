@@ -11,7 +11,7 @@ from flightgrid.llm._store import table
 
 
 def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.digests(table(spark, sf_dir, "documents"))
+    return ngram_lm.digests(table(spark, sf_dir, "documents"), least=1)
 
 
 def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from flightgrid.llm import fm_decontam, golay_near, golay_simhash, induced_dedup, induced_sort, ngram_lm, pu_toxicity, sentencepiece_bpe, template_lines
+from flightgrid.llm import fm_decontam, golay_near, golay_simhash, induced_dedup, induced_sort, ngram_lm, pu_toxicity, registry, sentencepiece_bpe, template_lines
 from flightgrid.llm.induced_sort import suffix_order
 
 
@@ -92,6 +92,32 @@ def test_ngram_scores(spark, docs, rows):
     assert any(len(x.heavy) for x in ngram_lm.train(docs).levels[1:])
 
 
+def test_ngram_query_counts_what_occurs_once(spark, tmp_path):
+    texts = ["a b c d", "a b c e", "a b f", "", "b c d g h", "x y z"]
+    rows = [(i, texts[i % 6]) for i in range(12) if i % 6 != 5 or i == 5]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    toks = [["<s>", *t.split(), "</s>\n"] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c1 = Counter(w for x in toks for w in x[1:])
+    c2 = Counter(p for x in toks for p in zip(x, x[1:], strict=False))
+    c3 = Counter(p for x in toks for p in zip(x, x[1:], x[2:], strict=False))
+    assert 1 in c2.values() and 1 in c3.values()
+    n, v, d = sum(c1.values()), len(c1), 0.75
+
+    def log(x, k):
+        w, p = x[k], (c1[x[k]] - d) / n if c1[x[k]] else d * v / n
+        for counts, context in ((c2, (x[k - 1],)), (c3, (x[k - 2], x[k - 1]) if k > 1 else None)):
+            after = {g[-1]: c for g, c in counts.items() if g[:-1] == context}
+            if after:
+                total = sum(after.values())
+                p = max(after.get(w, 0) - d, 0) / total + d * len(after) / total * p
+        return math.log10(p)
+
+    got = {x.doc_id: x.score for x in registry.op1_ngram_lm(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        x = ["<s>", *t.split(), "</s>\n"]
+        assert got[i] == pytest.approx(sum(log(x, k) for k in range(1, len(x))), rel=2e-3, abs=0.02)
+
+
 def test_elias_fano():
     r = np.random.default_rng(1)
     for n, top in ((1, 5), (3000, 3000), (3000, 1 << 62), (70_000, 1 << 33)):
