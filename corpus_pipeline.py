@@ -21,8 +21,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first."""
-    return template_lines.drop_recurring(docs)
+    """Lines of recurring templates go from all documents but the first;
+    documents of which no word is left go."""
+    return template_lines.drop_recurring(docs, emptied=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ With ``passage`` words given, repeats of so many words are dropped from two docu
 as they don't occur by chance: templates of at least ``passage`` words, and passages
 within or across lines.  For these, windows of 4/5 of ``passage`` words start wherever the
 hash of three words is the least of a run of starts; each passage of ``passage`` words
-holds a window, at the same place in all documents.  Words of recurring windows are cut
+holds a window, at the same place in all documents; texts begin and end with one, too.  Words of recurring windows are cut
 from their lines (up to 1/5 of ``passage`` words stay at either end of a passage), and a
 line of which nothing is left is dropped; ``n_dropped`` counts lines that are dropped whole.
 
@@ -77,7 +77,9 @@ def windows(col: pa.Array, passage: int) -> tuple[np.ndarray, np.ndarray, np.nda
             less = order[j : n - 1 - runs + j] <= low
             low[less] = order[j : n - 1 - runs + j][less]
             at[less] = np.flatnonzero(less) + j
-        at = np.unique(at)
+        heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        tails = np.append(heads[1:], n) - width
+        at = np.unique(np.concatenate([at, heads, tails[tails >= 0]]))
         at = at[at + width <= n]
         at = at[doc[at] == doc[at + width - 1]]
         fields = np.concatenate([[0], np.cumsum(variable)])
@@ -306,9 +308,12 @@ def digests(docs: DataFrame, passage: int | None = None) -> DataFrame:
     return got.select("doc_id", f.n_lines.alias("n_lines"), f.n_dropped.alias("n_dropped"), F.sha2(F.coalesce(f.kept, F.lit("")), 256).alias("kept_sha256"))
 
 
-def drop_recurring(docs: DataFrame) -> DataFrame:
-    """``docs`` with the kept text, and its length where there is a column n_chars."""
+def drop_recurring(docs: DataFrame, emptied: bool = True) -> DataFrame:
+    """``docs`` with the kept text, and its length where there is a column n_chars;
+    without those of which no word is left, unless ``emptied``."""
     got = dedup(docs, out="__lines", passage=PASSAGE).withColumn("text", F.col("__lines.kept"))
+    if not emptied:
+        got = got.where(F.coalesce(F.col("__lines.n_dropped"), F.lit(0)).eqNullSafe(0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return got.select(*docs.columns)
