@@ -12,21 +12,26 @@ the smallest id, which keeps the passage in the corpus once.
 
 With ``passage`` words given, repeats of so many words are dropped from two documents on,
 as they don't occur by chance: templates of at least ``passage`` words, and passages
-within or across lines.  For these, windows of 4/5 of ``passage`` words start wherever the
-hash of three words is the least of a run of starts; each passage of ``passage`` words
-holds a window, at the same place in all documents; texts begin and end with one, too.  Words of recurring windows are cut
+within or across lines.  For these, each passage of ``passage`` words has a window of 4/5
+of its words, at a place that its words alone decide: that of its least hash of some
+words, modulo the places that a window can have (so that neighbouring passages mostly
+share one); texts begin and end with a window, too.  Words of recurring windows are cut
 from their lines (up to 1/5 of ``passage`` words stay at either end of a passage), and a
 line of which nothing is left is dropped; ``n_dropped`` counts lines that are dropped whole.
 
-Templates are 64-bit hashes; a slice of documents is counted before the shuffle, so a
-line in a third of all documents is one row a slice.  Recurring templates are sent to
-the executors where there are at most ``broadcast_keys`` of them; beyond that, marks
-for lines come from a join by template.
+Templates and windows ("units") are 64-bit hashes.  A slice of documents is grouped by
+unit before the shuffle, so a line in a third of all documents is one row a slice, with
+the places where it stands; there is one shuffle of units, in which each learns how many
+documents hold it and the first of them, and the places of recurring units go back to
+their documents, which are named by id and text hash.  Nothing is broadcast or
+recomputed, and there is one plan for all sizes.
 
 Defined cases: a null text has no lines and stays null; an empty one has one empty
 line; lines of fewer words are never dropped; repeated rows count as documents of
-their own, and all rows with the smallest id keep their lines; extra columns pass
-through ``dedup``; an empty table gives an empty table.
+their own, and all rows with the smallest id keep their lines; ids are integers, or
+strings of digits (others raise an error), and null ids come after all others; extra
+columns pass through ``dedup``, whatever their names but for ``out``, which is replaced;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,11 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightgrid.llm._store import cut
 from flightgrid.llm._words import SPACED, chunks, hash_spans, mix, split, text_bytes
 
 PARTS = 5
@@ -65,31 +69,41 @@ def windows(col: pa.Array, passage: int) -> tuple[np.ndarray, np.ndarray, np.nda
     width = passage - runs + 1
     n = len(starts)
     none = np.zeros(0, np.int64)
-    if n < passage:
+    if n < width:
         return np.zeros(0, np.uint64), none, none, none
     digits = np.concatenate([[0], np.cumsum(DIGIT[data[: int(offsets[-1])]])])
     variable = digits[ends] > digits[starts]
     word = mix(np.where(variable, VARIABLE, hash_spans(data, starts, ends)))
     with np.errstate(over="ignore"):
-        order = mix(word[:-2] + mix(word[1:-1] + mix(word[2:])))
-        low, at = order[: n - 1 - runs].copy(), np.arange(n - 1 - runs)
-        for j in range(1, runs):
-            less = order[j : n - 1 - runs + j] <= low
-            low[less] = order[j : n - 1 - runs + j][less]
-            at[less] = np.flatnonzero(less) + j
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * np.cumprod(np.full(n, BASE)))])
+        back = np.cumprod(np.full(n, INVERSE))
+        within = lambda at, size: mix((total[at + size] - total[at]) * back[at] ^ VARIABLE)
+        size = width % runs if width % runs > 2 else width % runs + runs
+        passages = np.flatnonzero(doc[: n - passage + 1] == doc[passage - 1 :]) if n >= passage else none
+        least = _least(within(np.arange(n - size + 1), size), passage - size + 1) if len(passages) else none
         heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         tails = np.append(heads[1:], n) - width
-        at = np.unique(np.concatenate([at, heads, tails[tails >= 0]]))
-        at = at[at + width <= n]
-        at = at[doc[at] == doc[at + width - 1]]
+        ends_of = np.concatenate([heads, tails[tails >= 0]])
+        ends_of = ends_of[ends_of + width <= n]
+        ends_of = ends_of[doc[ends_of] == doc[ends_of + width - 1]]
+        at = np.unique(np.concatenate([passages + (least[passages] - passages) % runs if len(passages) else none, ends_of]))
         fields = np.concatenate([[0], np.cumsum(variable)])
         at = at[2 * (fields[at + width] - fields[at]) <= width]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * np.cumprod(np.full(n, BASE)))])
-        back = np.cumprod(np.full(n, INVERSE))
-        h = mix((total[at + width] - total[at]) * back[at] ^ VARIABLE)
+        h = within(at, width)
     return h, doc[at], starts[at] - offsets[doc[at]], ends[at + width - 1] - offsets[doc[at]]
 
 
+def _least(values: np.ndarray, size: int) -> np.ndarray:
+    """The place of the least (first) value of each run of ``size``."""
+    v, at, span = values, np.arange(len(values)), 1
+    while span < size:
+        step = min(span, size - span)
+        left, right = v[:-step], v[step:]
+        less = right < left
+        v, at, span = np.where(less, right, left), np.where(less, at[step:], at[:-step]), span + step
+    return at
+
+
 def templates(col: pa.Array, least: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template hashes of all lines, with the text, the line (in its text) and the words
     of each."""
@@ -127,56 +141,92 @@ def templates(col: pa.Array, least: int, depth: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(keys), doc[first][line], in_text[first][line], size[line]
 
 
-def _units(col: pa.Array, least: int, depth: int, passage: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the templates and windows of all texts, the text of each, and whether
-    it recurs from two documents on."""
-    h, doc, _, size = templates(col, least, depth)
-    if passage is None:
-        return h, doc, np.zeros(len(h), bool)
-    more, of, _, _ = windows(col, passage)
-    return np.concatenate([h, more]), np.concatenate([doc, of]), np.concatenate([size >= passage, np.ones(len(more), bool)])
+#: A place is a window's first byte * 2**32 + its last one, or -1 - a line's number.
+PLACE = "id long, row long, place long"
+UNIT = f"template long, long boolean, docs int, {PLACE}, rest array<struct<{PLACE.replace(' long', ': long')}>>"
 
 
-def recurring(docs: DataFrame, key: str = "doc_id", min_docs: int = 10, least: int = 4, depth: int = 2, passage: int | None = None) -> DataFrame:
-    """(template, docs, first): templates of at least ``min_docs`` documents, and long
-    ones and windows of two."""
+def _units(part: pa.RecordBatch, least: int, depth: int, passage: int | None) -> pa.RecordBatch | None:
+    """A row for each template and window of a slice (id, row, text): whether it recurs
+    from two documents on, its documents, and its places, that of the least id first."""
+    h, doc, line, size = templates(part.column(2), least, depth)
+    place, long = -1 - line, np.zeros(len(h), bool)
+    if passage is not None:
+        more, of, first, last = windows(part.column(2), passage)
+        h, doc, place = np.concatenate([h, more]), np.concatenate([doc, of]), np.concatenate([place, first << 32 | last])
+        long = np.concatenate([size >= passage, np.ones(len(more), bool)])
+    if not len(h):
+        return None
+    ids, rows = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    rank = np.empty(len(ids), np.int32)
+    rank[np.argsort(ids, kind="stable")] = np.arange(len(ids), dtype=np.int32)
+    order = np.lexsort((rank[doc], h))
+    h, doc, place, long = h[order], doc[order], place[order], long[order]
+    new = np.append(True, h[1:] != h[:-1])
+    other = np.cumsum(new | np.append(True, doc[1:] != doc[:-1]))
+    head, tail = np.flatnonzero(new), np.flatnonzero(~new)
+    docs = np.diff(np.append(other[head], other[-1] + 1)).astype(np.int32)
+    counts = np.diff(np.append(head, len(h))) - 1
+    ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+    named = ["id", "row", "place"]
+    inner = pa.StructArray.from_arrays([pa.array(ids[doc[tail]]), pa.array(rows[doc[tail]]), pa.array(place[tail])], named)
+    rest = pa.ListArray.from_arrays(pa.array(ends), inner, mask=pa.array(counts == 0))
+    values = [pa.array(h[head].view(np.int64)), pa.array(long[head]), pa.array(docs), pa.array(ids[doc[head]]), pa.array(rows[doc[head]]), pa.array(place[head])]
+    found = pa.RecordBatch.from_arrays([*values, rest], ["template", "long", "docs", *named, "rest"])
+    return found.take(pa.array(np.argsort(doc[head], kind="stable")))  # a document's rows together compress well
+
+
+def _named(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``__id`` (null: the largest number) and ``__row``, a text hash."""
+    return docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), "__row": F.xxhash64("text")})
+
+
+def units(docs: DataFrame, key: str, least: int, depth: int, passage: int | None) -> DataFrame:
+    """Units of each slice of ``docs`` with their documents and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                h, doc, long = _units(part.column(1), least, depth, passage)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                if not len(h):
-                    continue
-                pair = _pairs(h, doc, long)
-                new = np.flatnonzero(np.append(True, pair[0][1:] != pair[0][:-1]))
-                low = np.minimum.reduceat(ids[pair[1].astype(np.int64)], new)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0][new].view(np.int64)), pa.array(np.diff(np.append(new, pair.shape[1]))), pa.array(low.astype(np.int64)), pa.array(pair[2][new] > 0)], ["template", "docs", "first", "long"])
-
-    rows = docs.select(F.coalesce(F.col(key), F.lit(2**63 - 1)).cast("long").alias("id"), "text").where("text is not null")
-    counted = rows.mapInArrow(run, "template long, docs long, first long, long boolean")
-    found = counted.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.bool_or("long").alias("long"))
+                got = _units(part, least, depth, passage)
+                for at in range(0, got.num_rows if got else 0, 1 << 16):
+                    yield got.slice(at, 1 << 16)
+
+    rows = _named(docs.select(F.col(key).alias("key"), "text"), "key").where("text is not null")
+    return rows.select("__id", "__row", "text").mapInArrow(run, UNIT)
+
+
+def recurring(docs: DataFrame, key: str = "doc_id", min_docs: int = 10, least: int = 4, depth: int = 2, passage: int | None = None) -> DataFrame:
+    """(template, docs, first): templates of at least ``min_docs`` documents, and long
+    ones and windows of two."""
+    found = units(docs, key, least, depth, passage).groupBy("template").agg(F.sum("docs").alias("docs"), F.min("id").alias("first"), F.bool_or("long").alias("long"))
     return found.where(F.col("docs") >= F.when(F.col("long"), 2).otherwise(min_docs)).select("template", "docs", "first")
 
 
-def _pairs(h: np.ndarray, doc: np.ndarray, long: np.ndarray) -> np.ndarray:
-    """Distinct (template, text, long), sorted."""
-    order = np.lexsort((doc, h))
-    h, doc, long = h[order], doc[order], long[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
-    return np.stack([h[new], doc[new].astype(np.uint64), long[new].astype(np.uint64)])
+def marked(docs: DataFrame, key: str, min_docs: int, least: int, depth: int, passage: int | None) -> DataFrame:
+    """(id, row, places): places of recurring units in all documents but their first."""
+    per = Window.partitionBy("template")  # as many rows as slices hold the unit
+    found = units(docs, key, least, depth, passage).withColumns({"all": F.sum("docs").over(per), "first": F.min("id").over(per), "any": F.bool_or("long").over(per)})
+    found = found.where(F.col("all") >= F.when(F.col("any"), 2).otherwise(min_docs))
+    own = F.array(F.struct("id", "row", "place"))
+    each = found.select("first", F.explode(F.when(F.col("rest").isNull(), own).otherwise(F.concat(own, "rest"))).alias("p"))
+    return each.where("p.id > first").groupBy("p.id", "p.row").agg(F.collect_list("p.place").alias("places"))
 
 
 RESULT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
 
 
-def _without(text: str | None, gone: set[int] | None, spans: list[tuple[int, int]] | None) -> dict | None:
-    if text is not None and spans:
-        return _cut_out(text, gone or set(), spans)
+LINES = pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
+
+
+def _without(text: str | None, places: pa.Array | None) -> dict:
     if text is None:
         return {"n_lines": 0, "n_dropped": 0, "kept": None}
-    if not gone:
+    if places is None:
         return {"n_lines": text.count("\n") + 1, "n_dropped": 0, "kept": text}
+    p = np.unique(places.to_numpy(zero_copy_only=False))
+    gone, spans = set((-1 - p[p < 0]).tolist()), [(x >> 32, x & 0xFFFFFFFF) for x in p[p >= 0].tolist()]
+    if spans:
+        return _cut_out(text, gone, spans)
     lines = text.split("\n")
     return {"n_lines": len(lines), "n_dropped": len(gone), "kept": "\n".join(x for i, x in enumerate(lines) if i not in gone)}
 
@@ -210,96 +260,22 @@ def _cut_out(text: str, gone: set[int], spans: list[tuple[int, int]]) -> dict:
     return {"n_lines": len(lines), "n_dropped": len(lines) - len(kept), "kept": b"\n".join(kept).decode()}
 
 
-def _lost(text: pa.Array, least: int, depth: int, passage: int | None, drops) -> tuple[list[set[int] | None], list[list[tuple[int, int]] | None]]:
-    """Lines and byte spans of each text whose templates and windows ``drops``, given
-    their hashes and texts, marks."""
-    gone: list[set[int] | None] = [None] * len(text)
-    spans: list[list[tuple[int, int]] | None] = [None] * len(text)
-    h, doc, line, _ = templates(text, least, depth)
-    drop = drops(h, doc)
-    for d, i in zip(doc[drop].tolist(), line[drop].tolist(), strict=True):
-        if gone[d] is None:
-            gone[d] = set()
-        gone[d].add(i)
-    if passage is not None:
-        h, doc, first, last = windows(text, passage)
-        drop = drops(h, doc)
-        for d, a, b in zip(doc[drop].tolist(), first[drop].tolist(), last[drop].tolist(), strict=True):
-            if spans[d] is None:
-                spans[d] = []
-            spans[d].append((a, b))
-    return gone, spans
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", min_docs: int = 10, least: int = 4, depth: int = 2, broadcast_keys: int = 2_000_000, out: str = "lines", passage: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", min_docs: int = 10, least: int = 4, depth: int = 2, out: str = "lines", passage: int | None = None) -> DataFrame:
     """``docs`` with a struct column ``out``: lines, lines dropped, and the kept text."""
-    found = cut(recurring(docs, key, min_docs, least, depth, passage), "templates")
     kept = [c for c in docs.columns if c != out]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, RESULT)])
-    small = found.count() <= broadcast_keys  # 16 bytes each
-    if small:
-        table = found.select("template", "first").toPandas()
-        order = np.argsort(table["template"].to_numpy().view(np.uint64))
-        known = docs.sparkSession.sparkContext.broadcast((table["template"].to_numpy().view(np.uint64)[order], table["first"].to_numpy()[order]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, first = known.value
-            for batch in batches:
-                for part in chunks(batch, "text"):
-                    text = part.column(part.schema.get_field_index("text"))
-                    ids = _ids(part, key)
-
-                    def drops(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-                        if not len(keys):
-                            return np.zeros(len(h), bool)
-                        at = np.searchsorted(keys, h)
-                        at[at == len(keys)] = 0
-                        return (keys[at] == h) & (first[at] < ids[doc])
-
-                    yield _rows(part, kept, text, *_lost(text, least, depth, passage, drops), out)
-
-        return docs.mapInArrow(run, schema)
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                h, doc, _ = _units(part.column(1), least, depth, passage)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_ids(part, "id")[doc])], ["template", "id"])
-
-    # A document's recurring templates come to it; it finds their lines again.
-    by = docs.select(F.coalesce(F.col(key), F.lit(2**63 - 1)).cast("long").alias("id"), "text").where("text is not null")
-    marks = by.mapInArrow(own, "template long, id long").join(found, "template").where("first < id")
-    per = marks.groupBy("id").agg(F.collect_set("template").alias("__t"))
-    wide = docs.withColumn("__id", F.coalesce(F.col(key), F.lit(2**63 - 1)).cast("long")).join(per.withColumnRenamed("id", "__id"), "__id", "left")
-    return wide.mapInArrow(_by_templates(kept, least, depth, passage, out), schema)
-
+    marks = marked(docs, key, min_docs, least, depth, passage).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("places").alias("__places"))
+    row = F.struct(*(F.col(c) for c in kept)).alias("__doc")
+    wide = _named(docs.select(row, F.col(key).alias("key"), "text"), "key").select("__doc", "__id", "__row").join(marks, ["__id", "__row"], "left")
 
-def _by_templates(kept: list[str], least: int, depth: int, passage: int | None, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
-                text = part.column(part.schema.get_field_index("text"))
-                known = [np.array(x or (), np.int64) for x in part.column(part.schema.get_field_index("__t")).to_pylist()]
-                own = np.repeat(np.arange(len(known)), [len(x) for x in known])
-                pairs = set(zip(own.tolist(), np.concatenate([*known, np.zeros(0, np.int64)]).tolist(), strict=True))
-
-                def drops(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-                    return np.fromiter((x in pairs for x in zip(doc.tolist(), h.view(np.int64).tolist(), strict=True)), bool, len(h))
-
-                yield _rows(part, kept, text, *_lost(text, least, depth, passage, drops), out)
-
-    return run
-
-
-def _ids(part: pa.RecordBatch, key: str) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(part.column(part.schema.get_field_index(key)).cast(pa.int64()), 2**63 - 1).to_numpy(zero_copy_only=False)
-
+            row, places = batch.column(0), batch.column(1)
+            columns = [row.field(i) for i in range(row.type.num_fields)]
+            result = pa.array([_without(t.as_py(), p.values) for t, p in zip(columns[kept.index("text")], places, strict=True)], LINES)
+            yield pa.RecordBatch.from_arrays([*columns, result], [*kept, out])
 
-def _rows(part: pa.RecordBatch, kept: list[str], text: pa.Array, gone: list, spans: list, out: str) -> pa.RecordBatch:
-    result = pa.array([_without(t, g, c) for t, g, c in zip(text.to_pylist(), gone, spans, strict=True)], pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())]))
-    return pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), result], [*kept, out])
+    return wide.select("__doc", "__places").mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, passage: int | None = None) -> DataFrame:

@@ -218,8 +218,8 @@ def test_line_templates(spark, docs, rows):
         want.append((i, 0 if t is None else len(lines), 0 if t is None else len(lines) - len(left), sha("\n".join(left).encode())))
     assert sum(w[2] for w in want) >= 13
     assert by_row(template_lines.digests(docs)) == sorted(want, key=repr)
-    a = template_lines.dedup(docs, broadcast_keys=0)
-    assert by_row(a) == by_row(template_lines.dedup(docs))
+    assert by_row(template_lines.digests(docs.repartition(7))) == sorted(want, key=repr)  # other slices
+    assert {tuple(x) for x in template_lines.recurring(docs).select("docs", "first").collect()} == {(len(v), min(v)[0]) for v in seen.values() if len(v) >= 10}
     kept = template_lines.drop_recurring(docs.selectExpr("doc_id", "text", "length(text) as n_chars", "1 as template", "2 as id"))
     assert kept.columns == ["doc_id", "text", "n_chars", "template", "id"] and kept.count() == len(rows)
     assert kept.where("n_chars <> length(text)").count() == 0
@@ -243,8 +243,19 @@ def test_passages_of_two_documents(spark):
         assert was - set(p.split()) <= left and len(left & set(p.split())) <= 20
     assert got[6] == texts[6] and got[7] == texts[7].split("\n")[0]
     assert got[8:] == texts[8:]
-    a = template_lines.dedup(docs, passage=50, broadcast_keys=0)
-    assert by_row(a) == by_row(template_lines.dedup(docs, passage=50))
+    a = template_lines.dedup(docs.repartition(5, "doc_id"), passage=50)
+    assert by_row(a) == by_row(template_lines.dedup(docs.coalesce(1), passage=50))
+
+
+def test_line_ids_and_names(spark):
+    """Repeated ids with other texts, null ids, ids as strings, and columns with names used inside."""
+    long = " ".join(f"a{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(4, f"x\n{long}"), (4, long), (4, "kept line of five words"), (None, f"{long}\ny"), (9, f"{long}"), (9, f"z z\n{long}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as __id", "2 as __row", "3 as place", "4 as rest", "5 as key", "6 as __places")
+    got = template_lines.dedup(df, passage=50)
+    assert got.columns == [*df.columns, "lines"]
+    assert sorted((str(r.doc_id), r.lines.kept) for r in got.collect()) == sorted([("4", f"x\n{long}"), ("4", long), ("4", "kept line of five words"), ("None", "y"), ("9", ""), ("9", "z z")])
+    assert by_row(template_lines.dedup(df.withColumn("doc_id", df.doc_id.cast("string")), passage=50).select("lines.kept")) == by_row(got.select("lines.kept"))
 
 
 def fingerprint(t):
