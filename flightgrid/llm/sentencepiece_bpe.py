@@ -367,6 +367,8 @@ class _Table(dict):
         return got
 
 
+#: Bytes of text that are encoded together; a new worker looks up all their words at once.
+SLICE = 2 << 20
 _LOADED: dict[bytes, Bpe] = {}
 
 
@@ -400,7 +402,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(model.value)
         for batch in batches:
-            for part in chunks(batch, text):
+            for part in chunks(batch, text, SLICE):
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
                 bpe.prepare(texts)
                 ids = [bpe.encode(t or "") for t in texts]
@@ -433,7 +435,7 @@ def round_trip_digests(df: DataFrame, key: str = "doc_id", text: str = "text", p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(model.value)
         for batch in batches:
-            for part in chunks(batch, text):
+            for part in chunks(batch, text, SLICE):
                 n, a, b = [], [], []
                 texts = part.column(1).to_pylist()
                 bpe.prepare(texts)
