@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = got.get() if got.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="flightgrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

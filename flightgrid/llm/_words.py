@@ -28,7 +28,7 @@ _M2 = np.uint64(0x94D049BB133111EB)
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` with at most ``most`` bytes of text each
     (a longer text is a slice of its own)."""
     col = batch.column(batch.schema.get_field_index(column))

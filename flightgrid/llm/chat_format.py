@@ -59,8 +59,18 @@ def _turn(role: Column | str, text: Column) -> Column:
     return F.struct((F.lit(role) if isinstance(role, str) else role).cast("string").alias("role"), text.cast("string").alias("text"))
 
 
+#: Names of speakers in layouts of their own, as canonical roles.  Others stay.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+
+
+def _role(c: Column) -> Column:
+    for name, canonical in ROLES.items():
+        c = F.when(F.lower(c) == name, F.lit(canonical)).otherwise(c)
+    return c
+
+
 def _listed(items: str, role: str, text: str) -> Callable[[Callable[[str], Column]], Column]:
-    return lambda get: F.transform(get(items), lambda m: _turn(m[role], m[text]))
+    return lambda get: F.transform(get(items), lambda m: _turn(_role(m[role]), m[text]))
 
 
 def _joined(get: Callable[[str], Column]) -> Column:
@@ -191,7 +201,7 @@ def digests(turns: DataFrame) -> DataFrame:
 def with_control_case(conversations: DataFrame) -> DataFrame:
     """The table's turns and conversation -1, whose two texts are control strings."""
     text = "</s>[INST] ok [/INST]"
-    extra = conversations.sparkSession.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    extra = conversations.sparkSession.sql(f"select * from values (-1L, 0L, 'user', '{text}'), (-1L, 1L, 'assistant', '{text}') as t(conv_id, turn, role, text)")
     return canonical_turns(conversations).unionByName(extra)
 
 

@@ -121,7 +121,7 @@ class FmIndex:
 class Tests:
     """The windows of one block of test items."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
         self.width = width
         texts = pa.array([t or "" for _, t in items], pa.large_string())
         data, offsets = text_bytes(texts)
@@ -135,7 +135,7 @@ class Tests:
         for i, (name, _) in enumerate(items):
             own = word[bounds[i] : bounds[i + 1]].tolist()
             for at in range(max(1, len(own) - width + 1) if own else 0):
-                owners.setdefault(tuple(own[at : at + width]), set()).add(name)
+                owners.setdefault(tuple(own[at : at + width]), set()).update([name] if name is not None else [])
         self.owners = [sorted(x) for x in owners.values()]
         self.sizes = np.array([len(w) for w in owners], np.int64)
         self.windows = np.zeros((len(owners), width), np.int64)
@@ -184,7 +184,7 @@ RESULT = T.StructType([
 def _blocks(benchmark: DataFrame, width: int, block_words: int) -> list:
     """Broadcasts of blocks of test items, each of bounded size."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
     out, held, size = [], [], 0
 
     def close() -> None:

@@ -38,7 +38,7 @@ then all bounded or verified, so no pair depends on a head.
 
 Defined cases: null, empty and blank texts have no shingles and are copies of each
 other; fewer words than a shingle make one shingle; A-Z are lower-cased; repeated rows
-stay together (all kept or none); a null id comes after all others; extra columns pass
+stay together (all kept or none); ids are integers, or strings of digits; a null id comes after all others; extra columns pass
 through; an empty table gives an empty table.
 """
 
@@ -303,11 +303,11 @@ def classes(docs: DataFrame, nodes: DataFrame, width: int, least: float, tables:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, tables: int = 8, small: int = 64, loose: int = 104, hot: int = 1000) -> DataFrame:
     """``docs`` with the rows of least ``key`` of each class of near copies."""
-    name = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    name = F.xxhash64(F.col(key).isNull(), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text).isNull(), F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(key).cast("long").alias("id"), name.alias("row"), F.col(text).alias("text"))
     found = cut(prints(rows, width, least), "near-prints")
     same = ["n", *PRINT, *CELLS, "keys"]
     nodes = cut(found.groupBy("f").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("low"), *(F.first(x).alias(x) for x in same)).select("f", "low", F.col("low.row").alias("row"), *same), "near-nodes")
     roots = classes(rows.select("row", "text"), nodes, width, least, tables, small, loose, hot)
     chosen = roots.join(nodes.select(F.col("f").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__row"))
-    return docs.withColumn("__row", name).join(chosen.distinct(), "__row", "left_semi").select(*docs.columns)
+    return docs.select(F.struct(*docs.columns).alias("__doc"), name.alias("__row")).join(chosen.distinct(), "__row", "left_semi").select("__doc.*")

@@ -15,7 +15,9 @@ with every round written to the shared folder.
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like
 any other; fewer words than a shingle make one shingle; repeated rows stay rows of
 their own in the same class; an empty table gives an empty table; extra columns
-pass through ``components``.
+pass through ``components``, but ``simhash`` and ``component_id``, which are replaced;
+null ids count for a class only if it has no others (its id is null then), and
+``keep_one`` keeps of a class the rows with its id.
 """
 
 from __future__ import annotations
@@ -154,7 +156,7 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     seen, path = None, scratch_path(spark, "edges-0")
     edges.write.parquet(path)
     edges = spark.read.parquet(path)
-    for round_ in range(1, 100):
+    for round_ in range(1, 200):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: larger neighbours of u go to the least of u and its neighbours.
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -171,13 +173,15 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError("the components have not settled")
     return nodes.select("f").join(edges.select(F.col("u").alias("f"), F.col("v").alias("root")), "f", "left").select(F.col("f").alias("node"), F.coalesce("root", "f").alias("root"))
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 2, width: int = 3) -> DataFrame:
     """``docs`` without its text, with ``simhash`` and ``component_id``: the least
     ``key`` of all documents reachable over links."""
-    prints = cut(fingerprints(docs, text, width=width), "simhash")
+    prints = cut(fingerprints(docs.drop("component_id"), text, width=width), "simhash")
     nodes = cut(prints.groupBy(F.col("simhash").alias("f")).agg(F.min(key).alias("least")), "simhash-nodes")
     roots = connected(nodes, links(nodes, most))
     named = nodes.join(roots.withColumnRenamed("node", "f"), "f")
@@ -185,7 +189,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", most: i
     by_print = cut(named.join(least, "root").select(F.col("f").alias("simhash"), "component_id"), "simhash-classes")
     # A print of very many copies is one key: its rows are dealt over several tasks
     # by the join itself (the other side has one row a print).
-    return prints.join(by_print, "simhash", "left")
+    return prints.join(by_print, "simhash", "left").select(*prints.columns, "component_id")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -196,5 +200,5 @@ def digests(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents whose id is their component's (one of each class; of repeated
     rows with that id, all)."""
-    found = components(docs.select("doc_id", "text")).select(F.col("component_id").alias("doc_id"))
-    return docs.join(found.distinct(), "doc_id", "left_semi")
+    found = components(docs.select("doc_id", "text", F.struct(*docs.columns).alias("__doc")))
+    return found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__doc.*")

@@ -70,6 +70,18 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
+def _places(h: np.ndarray, w: int, bits: int = 24) -> np.ndarray:
+    """The place of the least (leftmost) of each ``w`` consecutive hashes.  Of a hash all
+    but ``bits`` bits count, whatever the length, so that equal runs have equal places."""
+    low, most = np.uint64(bits), np.uint64((1 << bits) - 1)
+    out, step = [np.zeros(0, np.int64)], (1 << bits) - w
+    for at in range(0, len(h) - w + 1, step):
+        part = h[at : at + step + w - 1]
+        least = sliding_min((part >> low << low) | np.arange(len(part), dtype=np.uint64), w)
+        out.append((least & most).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of texts end to end: text, anchor hash, first byte and end of the stretch that
     the windows of each anchor cover, from the text's start, and the stretch's hash."""
@@ -79,10 +91,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tup
     none = np.zeros(0, np.int64)
     if windows <= 0:
         return none, np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64)
-    # The place is the low part, so the leftmost of equal hashes is the least.
-    bits = np.uint64(max(1, n.bit_length()))
-    place = sliding_min((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), width - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))
-    place = place.astype(np.int64)
+    place = _places(h, width - gram + 1)
     sizes = np.diff(offsets)
     text = np.repeat(np.arange(len(sizes)), sizes)[:windows]
     fits = np.arange(windows) + width <= offsets[text + 1]
@@ -220,13 +229,14 @@ def repeated(rows: DataFrame, width: int = 200, gram: int = 100, block: int = 1_
     return whole.unionAll(parts)
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 200, most: int = 100_000, **how: int) -> DataFrame:
-    """``docs`` with ``spans`` (array of a, b): the maximal removed runs of bytes."""
-    keyed = docs.withColumn("row", _row_key(key, text))
-    rows = keyed.where(F.octet_length(text) >= width).select("row", F.col(text).alias("text"))
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 200, most: int = 100_000, out: str = "spans", **how: int) -> DataFrame:
+    """``docs`` with ``out`` (array of a, b): the maximal removed runs of bytes."""
+    kept = [c for c in docs.columns if c != out]
+    keyed = docs.select(F.struct(*kept).alias("doc"), _row_key(key, text).alias("row"))
+    rows = docs.where(F.octet_length(text) >= width).select(_row_key(key, text).alias("row"), F.col(text).alias("text"))
     found = repeated(rows, width, most=most, **how)
     merged = cut(found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
-    return _attached(keyed, merged, "spans", most).drop("row")
+    return _attached(keyed, merged, "spans", most).select("doc.*", F.col("spans").alias(out))
 
 
 def _merged(found: list[dict] | None) -> list[tuple[int, int]]:
@@ -245,7 +255,7 @@ RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, **how: int) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and the kept bytes (``digest``: their
     SHA-256 as kept_sha256 instead, and without the text)."""
-    got = spans(docs, key, text, **how)
+    got = spans(docs, key, text, out="__spans", **how)
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"]
     kept = [c for c in docs.columns if c not in names and not (digest and c == text)]
     schema = T.StructType([*(docs.schema[c] for c in kept), *T.StructType.fromDDL(RESULT.replace("kept binary", "kept_sha256 string") if digest else RESULT).fields])
@@ -254,7 +264,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool
         for batch in batches:
             for part in chunks(batch, text):
                 rows = []
-                for t, found in zip(part.column(part.schema.get_field_index(text)).to_pylist(), part.column(part.schema.get_field_index("spans")).to_pylist(), strict=True):
+                for t, found in zip(part.column(part.schema.get_field_index(text)).to_pylist(), part.column(part.schema.get_field_index("__spans")).to_pylist(), strict=True):
                     raw, gone = (t or "").encode(), _merged(found)
                     at, left = 0, []
                     for a, b in gone:

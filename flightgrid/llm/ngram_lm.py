@@ -14,14 +14,15 @@ Shards are files in the shared folder, mapped into memory by every Python worker
 Smoothing: interpolated absolute discounting, p(w | c) = (n(cw) - D) / n(c) +
 left(c) * p(w | shorter c), with n-grams below ``least`` occurrences pruned into
 left(c), and at level 1 (n(w) - D) / N with the mass D * V / N for the one unknown
-word.  A k-gram can only be frequent if both its (k-1)-grams are, so those are checked
+word.  The default counts all n-grams (``least`` 1).  A k-gram can only be frequent if both its (k-1)-grams are, so those are checked
 before anything of it is counted.
 
 Every text is its words and then one end; the first word's context is a begin that is
 no token.
 
 Defined cases: a null or empty text is the end alone; a null id counts as training;
-repeated rows count, and are scored, one by one; extra columns pass through ``score``;
+repeated rows count, and are scored, one by one; extra columns pass through ``score``,
+but those named like its results, which are replaced; an empty table gives an empty one;
 without a training row base and model scores are those of a uniform guess.
 """
 
@@ -48,6 +49,10 @@ END = np.uint64(hash_text("</s>\n"))
 #: Log10-probabilities from 0 to -LOWEST are stored in 16 bits.
 LOWEST = 24.0
 NONE = np.int64(-1)
+#: Tokens of the corpus a shard of levels 2 and up; its n-grams are fewer.
+SHARD = 4_000_000
+#: Bytes of text that are counted together, which merges their repeated n-grams.
+SLICE = 4 << 20
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -356,7 +361,7 @@ def _entries(trie: Trie, t: Tokens, order: int) -> tuple[np.ndarray, np.ndarray,
     return rank, count, steps
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 3, least: int = 2, discount: float = 0.75, folder: str | None = None) -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 3, least: int = 1, discount: float = 0.75, folder: str | None = None) -> Model:
     """Count ``docs`` and write the trie to ``folder`` (default: in the shared folder)."""
     spark = docs.sparkSession
     model = Model(folder or scratch_path(spark, "ngrams"), discount)
@@ -364,7 +369,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, least: int = 2, d
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text):
+            for part in chunks(batch, text, SLICE):
                 h, n = _counted(tokens(part.column(0)).hash)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
@@ -380,10 +385,12 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, least: int = 2, d
     ranks = _ranks(model, list(heavy))
     hot = {int(r): n for r, n in zip(ranks, heavy.values(), strict=True)}
     hot[model.words] = model.texts  # the begin
+    # A shard gets some ``SHARD`` n-grams at most, whatever the corpus.
+    shards = max(parts, model.tokens // SHARD + 1)
     for k in range(2, order + 1):
         if not model.tokens:
             break
-        level, hot = _next_level(docs, text, model, k, hot, least, parts, share)
+        level, hot = _next_level(docs, text, model, k, hot, least, shards, share)
         model.levels.append(level)
     return model
 
@@ -430,7 +437,7 @@ def _next_level(docs: DataFrame, text: str, model: Model, k: int, hot: dict[int,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(sent.value[0])
         for batch in batches:
-            for part in chunks(batch, text):
+            for part in chunks(batch, text, SLICE):
                 t = tokens(part.column(0))
                 rank, _, steps = _entries(trie, t, k)
                 context = steps[-1][0]
@@ -552,7 +559,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, least: int = 2) -> DataFrame:
+def digests(docs: DataFrame, least: int = 1) -> DataFrame:
     """Learn from the rows that are not held out, with the n-grams of ``least``
     occurrences or more; score every row."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))

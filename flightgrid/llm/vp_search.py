@@ -114,26 +114,27 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 5, factor: float
         df = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
         return valid(df.where("id is not null"), "x").withColumn("dim", F.size("x"))
 
-    c, q = take(candidates), take(queries)
+    # Equal rows of a query are one; rows of one id with other vectors are searched apart.
+    c, q = take(candidates), take(queries).dropDuplicates(["id", "x"]).withColumn("row", F.xxhash64("x"))
     shards = max(1, -(-c.count() // shard_rows))
     blocks = max(1, -(-q.count() // block_rows))
     deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = c.select("dim", deal(shards, 1).cast("int").alias("shard"), numbers(blocks).alias("block"), "id", "x")
-    right = q.select("dim", numbers(shards).alias("shard"), deal(blocks, 2).cast("int").alias("block"), "id", "x")
+    right = q.select("dim", numbers(shards).alias("shard"), deal(blocks, 2).cast("int").alias("block"), "id", "row", "x")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):
-            return pa.table({n: pa.array([], t) for n, t in (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))})
+            return pa.table({n: pa.array([], t) for n, t in (("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))})
         a = a.sort_by("id")
         tree = VpTree(a["id"].to_numpy(), _matrix(a["x"]))
         qid = b["id"].to_numpy()
         score, found = tree.search(qid, _matrix(b["x"]), k, factor)
         ok = score > -np.inf
-        return pa.table({"query_id": np.repeat(qid, k)[ok.ravel()], "vec_id": found[ok], "score": score[ok]})
+        return pa.table({"query_id": np.repeat(qid, k)[ok.ravel()], "row": np.repeat(b["row"].to_numpy(), k)[ok.ravel()], "vec_id": found[ok], "score": score[ok]})
 
-    got = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    got = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInArrow(run, "query_id long, row long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -148,9 +149,9 @@ with v as (
     and len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(c.x, c.x))) as score
-  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x)
+  select q.vec_id as query_id, q.x, c.vec_id, list_dot_product(q.x, c.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(c.x, c.x))) as score
+  from (select distinct vec_id, x from v) q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x)
 ),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+r as (select *, row_number() over (partition by query_id, x order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
 """

@@ -1,7 +1,9 @@
 """Deterministic sharded WARC archives of pages, and their reader.
 
-Records are range-sorted by page id; every partition writes its run into files of
-its own that roll over at a compressed size.  Each record is a gzip member.  Headers
+Records are range-sorted by page id; every shard is written into files of its own that
+roll over at a compressed size.  The shards' bounds come from a histogram of all payload
+bytes over 65,536 equal ranges of ids, and not from a sample, so that files depend on the
+rows and the number of shards alone, whatever the order and the layout of the input.  Each record is a gzip member.  Headers
 are made anew from the row: record ids from the page id, a fixed date, digests from
 the bytes.  Of pages with equal payloads of at least ``least`` bytes the one with the
 smallest id is a response and the others are revisits of it.  A file is written under
@@ -10,7 +12,8 @@ digest, first and last id) is committed by Spark's own protocol as a Parquet tab
 after all files, and readers open only what the manifest names.  A lost task writes
 the same bytes under the same names again.
 
-Defined cases: a null payload is empty and never a revisit; a null url is an empty
+Defined cases: a null payload is empty and never a revisit; rows without a page id come
+first, with the record id "none", and are always responses; a null url is an empty
 target; control characters in urls are percent-encoded; repeated rows with the same
 id and payload are all responses (or all revisits); an empty table gives an empty
 manifest; extra columns are not archived.
@@ -26,7 +29,6 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,13 @@ MANIFEST = "file string, records long, bytes long, sha256 string, first_id long,
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def record_id(page_id: int | None) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}>"
+
+
+def _page(name: str) -> int | None:
+    """The page id in a record id."""
+    return None if name == record_id(None) else int(name[10:-1])
 
 
 def _clean(url: str | None) -> str:
@@ -68,6 +75,21 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _sharded(rows: DataFrame, n: int, ranges: int = 65_536) -> DataFrame:
+    """``rows`` with their ``shard``, which holds about an ``n``-th of all bytes, sorted."""
+    ends = rows.agg(F.min("page_id"), F.max("page_id")).first()
+    low, step = float(ends[0] or 0), max(1.0, (float(ends[1] or 0) - float(ends[0] or 0)) / (ranges - 1))
+    rows = rows.withColumn("range", F.coalesce(F.floor((F.col("page_id").cast("double") - low) / step), F.lit(-1)).cast("int"))
+    held = rows.groupBy("range").agg(F.sum(F.octet_length("html") + 256).alias("bytes")).orderBy("range").collect()  # one row a range
+    total, before, at = sum(r.bytes for r in held), 0, []
+    for r in held:
+        at.append((r.range, min(n - 1, before * n // total)))
+        before += r.bytes
+    shards = rows.sparkSession.createDataFrame(at, "range int, shard int")
+    found = rows.join(F.broadcast(shards), "range").drop("range")
+    return found.repartitionByRange(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+
+
 def write(pages: DataFrame, folder: str, roll: int = 256 << 20, least: int = 100, level: int = 5, most: int = 500_000) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to ``folder``; the manifest, which is
     committed at ``folder``/manifest."""
@@ -82,21 +104,26 @@ def write(pages: DataFrame, folder: str, roll: int = 256 << 20, least: int = 100
     # About a hundred bytes a row: sent to all where there are few, else joined.
     small = revisit.count() <= most
     rows = rows.drop("size").join(F.broadcast(revisit) if small else revisit, ["page_id", "digest"], "left")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "digest", "url")
+    rows = _sharded(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    listed = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, part = Files(folder), TaskContext.get().partitionId()
-        out, done = None, 0
+        files = Files(folder)
+        out, part, done = None, None, 0
 
         def close() -> pa.RecordBatch:
             out.close()
             name = f"part-{part:05d}-{done:05d}.warc.gz"
             files.rename(temp, name)
-            return pa.RecordBatch.from_pylist([{"file": name, "records": count, "bytes": size, "sha256": sha.hexdigest(), "first_id": low, "last_id": high}])
+            return pa.RecordBatch.from_pylist([{"file": name, "records": count, "bytes": size, "sha256": sha.hexdigest(), "first_id": low, "last_id": high}], schema=listed)
 
         for batch in batches:
-            for page_id, url, html, digest, refers in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "digest", "first")), strict=True):
+            for page_id, url, html, digest, refers, shard in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "digest", "first", "shard")), strict=True):
+                if shard != part:
+                    if out is not None:
+                        yield close()
+                    out, part, done = None, shard, 0
                 if out is None:
                     temp = f".{uuid.uuid4().hex}.tmp"
                     out, count, size, sha, low = files.create(temp), 0, 0, hashlib.sha256(), page_id
@@ -111,7 +138,7 @@ def write(pages: DataFrame, folder: str, roll: int = 256 << 20, least: int = 100
         if out is not None:
             yield close()
 
-    rows.select("page_id", "url", "html", "digest", "first").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    rows.select("page_id", "url", "html", "digest", "first", "shard").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -146,7 +173,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
                 with files.open(name) as f:
                     for h, block in parse(f):
                         http, _, payload = block.partition(b"\r\n\r\n")
-                        one = {"page_id": int(h["WARC-Record-ID"][10:-1]), "url": h["WARC-Target-URI"], "record_type": h["WARC-Type"], "refers_to": None}
+                        one = {"page_id": _page(h["WARC-Record-ID"]), "url": h["WARC-Target-URI"], "record_type": h["WARC-Type"], "refers_to": None}
                         declared = h["WARC-Payload-Digest"].removeprefix("sha256:")
                         if h["WARC-Type"] == "response":
                             one |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
@@ -181,7 +208,7 @@ with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, octet_length(encode(html)) as n, sha256(html) as h from p),
 f as (select h, min(page_id) as first_ from d where n >= 100 group by h)
 select d.page_id, cast(d.n as bigint) as payload_bytes, d.h as payload_digest,
-  case when f.first_ is null or f.first_ = d.page_id then 'response' else 'revisit' end as record_type,
+  case when f.first_ is null or d.page_id is null or f.first_ = d.page_id then 'response' else 'revisit' end as record_type,
   case when f.first_ <> d.page_id then f.first_ end as refers_to
 from d left join f on d.h = f.h and d.n >= 100
 """

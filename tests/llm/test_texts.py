@@ -10,8 +10,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from flightgrid.llm import fm_decontam, golay_near, golay_simhash, induced_dedup, induced_sort, ngram_lm, pu_toxicity, registry, sentencepiece_bpe, template_lines
+from flightgrid.llm._words import hash_text
 from flightgrid.llm.induced_sort import suffix_order
 
 
@@ -52,7 +54,7 @@ def by_row(df):
 
 
 def test_ngram_scores(spark, docs, rows):
-    got = by_row(ngram_lm.digests(docs))
+    got = by_row(ngram_lm.digests(docs, least=2))
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
     toks = [[*spaced(t), "</s>\n"] for _, t in rows]
     c1, c2, c3 = Counter(), Counter(), Counter()
@@ -118,6 +120,19 @@ def test_ngram_query_counts_what_occurs_once(spark, tmp_path):
         assert got[i] == pytest.approx(sum(log(x, k) for k in range(1, len(x))), rel=2e-3, abs=0.02)
 
 
+def test_ngram_odd_tables(spark):
+    """No rows, no training rows, and columns named like the results."""
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert ngram_lm.digests(none).count() == 0
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    x = ngram_lm.digests(spark.createDataFrame([(held, "a b")], none.schema)).first()
+    assert x.held_out and (x.n_tokens, x.n_known, x.train_tokens) == (3, 0, 0) and x.base_score == x.score == 0
+    docs = spark.createDataFrame([(1, "a b", "u", 2), (2, None, "v", 3)], "doc_id long, text string, score string, extra long")
+    got = ngram_lm.score(docs, ngram_lm.train(docs))
+    assert got.columns == ["doc_id", "extra", "n_tokens", "n_known", "base_score", "score"]
+    assert {(r.doc_id, r.extra, r.n_tokens) for r in got.collect()} == {(1, 2, 3), (2, 3, 1)}
+
+
 def test_elias_fano():
     r = np.random.default_rng(1)
     for n, top in ((1, 5), (3000, 3000), (3000, 1 << 62), (70_000, 1 << 33)):
@@ -140,6 +155,14 @@ def test_toxicity_learns_and_handles_odd_rows(spark, rows):
         assert x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 4 == 2)
         if x.doc_id is not None and x.doc_id < 600:
             assert x.predicted == (x.doc_id % 5 == 0)
+    # The scores by brute force, of the model that the same rows give.
+    model = pu_toxicity.fit(docs, labels, pu_toxicity.is_held_out(F.col("doc_id")))
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    text = {i: t for i, t in [*made, (1000, None), (1001, ""), (None, "vile")]}
+    for x in got:
+        words = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text[x.doc_id])))
+        z = model.bias + sum(weight.get(hash_text(w), 0.0) for w in words)
+        assert x.score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
     none = pu_toxicity.digests(docs.limit(0), labels)
     assert none.count() == 0 and none.columns == ["doc_id", "held_out", "score", "predicted"]
     assert pu_toxicity.digests(docs, labels.limit(0)).count() == 603
@@ -288,7 +311,40 @@ def test_simhash(spark, docs, rows):
     assert golay_simhash.digests(docs.limit(0)).count() == 0
     kept = golay_simhash.keep_one(docs.selectExpr("*", "1 as simhash", "2 as component_id"))
     assert kept.columns == ["doc_id", "text", "simhash", "component_id"]
-    assert {r.doc_id for r in kept.collect()} == set(least.values())
+    assert {r.doc_id for r in kept.collect()} == {*least.values(), None}  # the row without an id is a class of its own
+
+
+def test_simhash_null_ids_and_names(spark):
+    rows = [(None, "one two three"), (3, "one two three"), (None, "quite another text here"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "8 as component_id", "9 as simhash")
+    got = golay_simhash.components(docs)
+    assert got.columns == ["doc_id", "simhash", "component_id"]
+    assert sorted((x.component_id for x in got.collect()), key=repr) == [3, 3, 7, None]
+    kept = golay_simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(x) for x in kept.collect()), key=repr) == [(3, "one two three", 8, 9), (7, None, 8, 9), (None, "quite another text here", 8, 9)]
+
+
+def test_near_copies_of_null_and_digits(spark):
+    docs = spark.createDataFrame([(5, None), (None, "5"), (3, None)], "doc_id long, text string")
+    assert sorted((x.doc_id for x in golay_near.keep_one(docs).collect()), key=repr) == [3, None]
+
+
+def test_near_copies_with_a_hot_passage(spark):
+    """Texts that share a passage, which is hot, and pairs among them that are near."""
+    r = random.Random(12)
+    say = lambda n: ["".join(r.choices("abcdefgh", k=6)) for _ in range(n)]
+    passage = say(30)
+    texts = []
+    for _ in range(30):
+        own = say(60)
+        texts.append(" ".join(own[:20] + passage + own[20:]))
+    texts += [t.replace(" ", "  ", 1) + " " + " ".join(say(10)) for t in texts[:5]] + [" ".join(passage), " ".join(passage + say(4))]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    want = near_classes(texts)
+    assert len(want) == 31
+    for hot in (5, 1000):
+        assert sorted(x.doc_id for x in golay_near.keep_one(docs, hot=hot).collect()) == want
 
 
 def test_near_copies(spark):
@@ -445,6 +501,11 @@ def test_suffix_dedup(spark, docs, rows):
     # Joins instead of broadcasts, many small shards, queues on disk.
     assert by_row(induced_dedup.dedup(docs, digest=True, most=0, shard_bytes=500, memory=50)) == want
     assert induced_dedup.digests(docs.limit(0)).count() == 0
+    named = induced_dedup.dedup(docs.selectExpr("*", "1 as row", "2 as spans", "3 as n_bytes", "4 as doc"))
+    assert named.columns == ["doc_id", "text", "row", "spans", "doc", "n_bytes", "n_removed", "n_spans", "kept"]
+    assert named.where("row = 1 and spans = 2 and doc = 4").count() == len(rows)
+    h = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+    assert (induced_dedup._places(h, 7, 10) == [i + int(np.argmin(h[i : i + 7] >> np.uint64(10))) for i in range(len(h) - 6)]).all()
 
 
 def test_decontamination(spark, docs, rows):
@@ -454,8 +515,8 @@ def test_decontamination(spark, docs, rows):
     windows = defaultdict(set)
     for name, t in items:
         w = words(t)
-        for i in range(max(1, len(w) - 12) if w and name else 0):
-            windows[tuple(w[i : i + 13])].add(name)
+        for i in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[i : i + 13])] |= {name} - {None}
     want = []
     for i, t in rows:
         w, hit, names = words(t), set(), set()
