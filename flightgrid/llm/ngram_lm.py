@@ -390,7 +390,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, least: int = 1, d
     for k in range(2, order + 1):
         if not model.tokens:
             break
-        level, hot = _next_level(docs, text, model, k, hot, least, shards, share)
+        level, hot = _next_level(docs, text, model, k, hot, least, shards, share, k == order)
         model.levels.append(level)
     return model
 
@@ -426,8 +426,9 @@ def _level(made: list, n: int, heavy: np.ndarray | None = None, left: np.ndarray
     return Level(files, np.cumsum(sizes) - sizes, *(() if heavy is None else (heavy, left)))
 
 
-def _next_level(docs: DataFrame, text: str, model: Model, k: int, hot: dict[int, int], least: int, parts: int, share: int) -> tuple[Level, dict[int, int]]:
-    """Level ``k`` and the counts of its own heavy entries."""
+def _next_level(docs: DataFrame, text: str, model: Model, k: int, hot: dict[int, int], least: int, parts: int, share: int, last: bool) -> tuple[Level, dict[int, int]]:
+    """Level ``k`` and the counts of its own heavy entries; the ``last`` level keeps no
+    counts, as only the next one's training asks for them."""
     spark = docs.sparkSession
     heavy = np.array(sorted(hot), np.int64)
     totals = np.array([hot[c] for c in heavy.tolist()], np.int64)
@@ -498,7 +499,7 @@ def _next_level(docs: DataFrame, text: str, model: Model, k: int, hot: dict[int,
             left=quantise(1 - mass[used] / total[used]),
             children=ef_encode(children, max(1, len(used)) * width),
             probability=quantise((c[kept] - discount) / total[of[kept]]),
-            counts=c[kept].astype(np.uint32 if c.max(initial=0) < 1 << 32 else np.uint64),
+            **({} if last else {"counts": c[kept].astype(np.uint32 if c.max(initial=0) < 1 << 32 else np.uint64)}),
         )
         Files(folder).save(name, raw)
         over = np.flatnonzero(c[kept] > share)
@@ -539,7 +540,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         trie = Trie(sent.value)
         m = sent.value
         for batch in batches:
-            for part in chunks(batch, text):
+            for part in chunks(batch, text, SLICE):
                 t = tokens(part.column(part.schema.get_field_index(text)))
                 rank, count, steps = _entries(trie, t, len(m.levels))
                 if m.tokens:
