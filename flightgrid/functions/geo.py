@@ -73,6 +73,26 @@ def to_utm(lat: Column, lon: Column) -> tuple[Column, Column]:
     return 500000 + K0 * radius * east, K0 * radius * north + F.when(lat >= 0, 0.0).otherwise(1e7)
 
 
+def from_utm(east: Column, north: Column, epsg: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of UTM coordinates: the inverse of the series."""
+    n = FLAT / (2 - FLAT)
+    radius, _ = _krueger()
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    south = epsg >= 32700
+    xi0, eta0 = (north - F.when(south, 1e7).otherwise(0.0)) / (K0 * radius), (east - 500000) / (K0 * radius)
+    xi, eta = xi0, eta0
+    for j, b in enumerate(beta, 1):
+        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    phi = chi
+    for j, d in enumerate(delta, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    central = (epsg % 100 - 1) * 6 - 177
+    return F.degrees(phi), central + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
+
+
 def to_utm_sql(lat: str, lon: str) -> tuple[str, str]:
     """The same series as SQL text."""
     radius, alpha = _krueger()
@@ -160,12 +180,54 @@ def oriented(ring: Column) -> Column:
     return F.when(twice < 0, F.reverse(ring)).otherwise(ring)
 
 
-def area_sql(ring: str) -> str:
-    return (
-        f"abs(aggregate(sequence(0, size({ring}) - 1), 0D, (s, i) -> s + get({ring}, i).x * get({ring}, (i + 1) % size({ring})).y"
-        f" - get({ring}, (i + 1) % size({ring})).x * get({ring}, i).y)) / 2"
-    )
+def intersection_area(a: Column, b: Column) -> Column:
+    """Area that two convex quads share: each side of one cuts the other."""
+    clip = oriented(b)
+    sides = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(F.get(clip, k).alias("p"), F.get(clip, (k + 1) % 4).alias("q")))
+    return F.aggregate(sides, oriented(a), lambda part, s: _clip(part, s.p, s.q), polygon_area)
+
+
+def overlap_fraction(a: Column, b: Column) -> Column:
+    """Shared area over the smaller of two quads; 0 where either is degenerate."""
+    least = F.least(polygon_area(a), polygon_area(b))
+    return F.when(least > 0, intersection_area(a, b) / least).otherwise(0.0)
+
+
+def tile_to_utm(x: Column, y: Column, ahead_x: Column, ahead_y: Column, gsd: Column, w: Column, h: Column) -> Column:
+    """Affine (xx, xy, yx, yy, tx, ty) from pixels to UTM: up is ``ahead``, right is it
+    turned clockwise."""
+    rx, ry = ahead_y, -ahead_x
+    return F.struct((gsd * rx).alias("xx"), (-gsd * ahead_x).alias("xy"), (gsd * ry).alias("yx"), (-gsd * ahead_y).alias("yy"), (x - gsd * w / 2 * rx + gsd * h / 2 * ahead_x).alias("tx"), (y - gsd * w / 2 * ry + gsd * h / 2 * ahead_y).alias("ty"))
+
+
+def measured_scale(full_w: Column, full_h: Column, w: Column, h: Column, tolerance: float = 1e-3) -> Column:
+    """Full over reduced size; an error where the axes are reduced unlike."""
+    sx, sy = full_w / w, full_h / h
+    unlike = F.abs(sx - sy) / F.greatest(sx, sy) > tolerance
+    return F.when(unlike, F.raise_error(F.lit("the reduction differs between the axes")).cast("double")).otherwise((sx + sy) / 2)
+
+
+def agrees(h: Pose, i: Pose, j: Pose, w: Column, height: Column, tolerance: float = 0.25) -> Column:
+    """Whether a measured similarity puts the corners where the poses predict them, to
+    ``tolerance`` diagonals."""
+    predicted = compose(invert(j), i)
+    zero = F.lit(0.0)
+    gaps = []
+    for corner in ((zero, zero), (w, zero), (w, height), (zero, height)):
+        (x, y), (u, v) = apply_pose(h, *corner), apply_pose(predicted, *corner)
+        gaps.append(F.hypot(x - u, y - v))
+    return F.greatest(*gaps) <= tolerance * F.hypot(w, height)
+
+
+def corner_residual(h: Pose, i: Pose, j: Pose, w: Column, height: Column) -> Column:
+    """Mean distance of an image's corners under its own pose and by way of the other."""
+    zero, total = F.lit(0.0), F.lit(0.0)
+    for corner in ((zero, zero), (w, zero), (w, height), (zero, height)):
+        (x, y), (u, v) = apply_pose(i, *corner), apply_pose(j, *apply_pose(h, *corner))
+        total = total + F.hypot(x - u, y - v)
+    return total / 4
 
 
-def bearing_sign(d: Column) -> Column:
-    return F.when(d >= 0, 1).otherwise(-1)
+def valid_pixel(*bands: Column) -> Column:
+    """Any band is not zero: nodata is zero in all."""
+    return F.greatest(*bands) > 0 if len(bands) > 1 else bands[0] > 0

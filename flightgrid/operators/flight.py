@@ -115,6 +115,22 @@ def thin(shots: DataFrame, step: Column | float) -> DataFrame:
     return per.select("flight_id", F.explode(F.aggregate("s", empty, fold, lambda acc: acc.kept)).alias("ord"))
 
 
+def thinning_step(footprint: Column | float, overlap: float) -> Column:
+    """Metres between kept shots that leave the wanted overlap, at least a twentieth."""
+    return (F.lit(footprint) if isinstance(footprint, (int, float)) else footprint) * max(1.0 - overlap, 0.05)
+
+
+def with_endpoints(shots: DataFrame, found: DataFrame) -> DataFrame:
+    """``shots`` with ``endpoint``: the first and last shot of each leg."""
+    ends = found.select("flight_id", F.explode(F.array("first_ord", "last_ord")).alias("ord")).distinct().withColumn("endpoint", F.lit(True))
+    return shots.join(ends, ["flight_id", "ord"], "left").withColumn("endpoint", F.coalesce("endpoint", F.lit(False)))
+
+
+def default_overlap(lateral: float | None = None) -> float:
+    """The overlap along the flight when none is asked for."""
+    return 0.5 * (1 + (0.25 if lateral is None else lateral))
+
+
 def consecutive(kept: DataFrame) -> DataFrame:
     """Steps between neighbours among the kept shots."""
     nxt = lambda c: F.lead(c).over(by_order())
@@ -164,3 +180,10 @@ def axis_vote(steps: DataFrame) -> DataFrame:
 def feature_ladder(frames: Column, rungs: tuple[int, ...] = (3_000, 12_000, 48_000), budget: float = 6e8, size: int = 40) -> Column:
     """Features a frame to try: the first rung, and the later ones within the budget."""
     return F.concat(F.array(F.lit(rungs[0])), F.filter(F.array(*map(F.lit, rungs[1:])), lambda r: frames * r * size <= budget))
+
+
+def pixel_sizes(shots: DataFrame, key: str = "flight_id") -> DataFrame:
+    """(key, gsd, least, most): the least pixel size over both axes (gx, gy) of all
+    shots, and the range of the ratio of the axes."""
+    ratio = F.greatest("gx", "gy") / F.least("gx", "gy")
+    return shots.groupBy(key).agg(F.min(F.least("gx", "gy")).alias("gsd"), F.min(ratio).alias("least"), F.max(ratio).alias("most"))

@@ -53,11 +53,13 @@ def _written(df: DataFrame) -> DataFrame:
 def _temporary(spark: SparkSession, df: DataFrame) -> DataFrame:
     import tempfile
 
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="flightgrid-"))
     return df.checkpoint()
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
     """(node, component): the least node reachable, by star contraction, each round
     written to the shared folder."""
     e = _written(edges.where("i <> j").select(F.col("i").alias("u"), F.col("j").alias("v")).distinct())
@@ -73,9 +75,21 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError("the components have not settled")
     return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: pairs, components, the largest one, isolated nodes and the range of the
+    degrees."""
+    sizes = components(nodes, edges).groupBy("component").agg(F.count("*").alias("n"))
+    c = sizes.agg(F.count("*").alias("components"), F.max("n").alias("largest_component"))
+    e = edges.agg(F.count("*").alias("pairs"))
+    d = degrees(nodes, edges).agg(F.count_if(F.col("degree") == 0).alias("isolated"), F.min("degree").alias("degree_min"), F.median("degree").alias("degree_median"), F.max("degree").alias("degree_max"))
+    return e.crossJoin(c).crossJoin(d)  # one row each
+
+
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, components, independent cycles, and whether they are at
     least a quarter of the nodes."""

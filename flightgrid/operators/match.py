@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def two_nearest(pairs: DataFrame, features: DataFrame) -> DataFrame:
+def two_nearest(pairs: DataFrame, features: DataFrame, least: int = 8) -> DataFrame:
     """For image pairs (i, j): the two features of j nearest to each of i by Hamming
-    distance of bit descriptors, ties by the feature number.  Quadratic in the features
+    distance of bit descriptors, ties by the feature number; images with fewer than
+    ``least`` features take no part.  Quadratic in the features
     of a pair, as brute-force matching is; pairs are dealt over tasks."""
+    enough = features.groupBy("image").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("image")
+    features = features.join(enough, "image", "left_semi")
     a = features.select(F.col("image").alias("i"), F.col("feature").alias("q"), F.col("bits").alias("qb"))
     b = features.select(F.col("image").alias("j"), F.col("feature").alias("t"), F.col("bits").alias("tb"))
     d = F.bit_count(F.col("qb").bitwiseXOR(F.col("tb")))
@@ -26,12 +29,18 @@ def ratio_test(nearest: DataFrame, ratio: float = 0.75) -> DataFrame:
 
 def similarity(points: DataFrame, key: str) -> DataFrame:
     """Least-squares similarity x' = a x - b y + tx, y' = b x + a y + ty of (x, y) to
-    (u, v) for each key: closed form from one pass of sums."""
+    (u, v) for each key: closed form from one pass of sums.  It needs two points (else
+    null); points in one place have the scale 1, and of reflected ones the rotation is
+    the nearest and the scale that of the reflection."""
     m = points.groupBy(key).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{c}") for c in "xyuv"), *(F.avg(F.col(p) * F.col(q)).alias(p + q) for p, q in ("xx", "yy", "xu", "yv", "xv", "yu")))
     s = F.col("xx") + F.col("yy") - F.col("mx") ** 2 - F.col("my") ** 2
-    safe = F.when(s > 0, s)
-    a = (F.col("xu") + F.col("yv") - F.col("mx") * F.col("mu") - F.col("my") * F.col("mv")) / safe
-    b = (F.col("xv") - F.col("yu") - F.col("mx") * F.col("mv") + F.col("my") * F.col("mu")) / safe
+    xu, yv, xv, yu = (F.col(p + q) - F.col(f"m{p}") * F.col(f"m{q}") for p, q in ("xu", "yv", "xv", "yu"))
+    turn = F.hypot(xu + yv, xv - yu)
+    # The sum of the singular values of the covariance, as it is, for reflected points too.
+    scale = F.when(s > 1e-12, F.when(xu * yv - yu * xv < 0, F.hypot(xu - yv, yu + xv)).otherwise(turn) / s).otherwise(1.0)
+    two = F.col("n") > 1
+    a = F.when(two, scale * F.when(turn > 0, (xu + yv) / turn).otherwise(1.0))
+    b = F.when(two, scale * F.when(turn > 0, (xv - yu) / turn).otherwise(0.0))
     m = m.withColumns({"a": a, "b": b})
     return m.select(key, "n", "a", "b", (F.col("mu") - F.col("a") * F.col("mx") + F.col("b") * F.col("my")).alias("tx"), (F.col("mv") - F.col("b") * F.col("mx") - F.col("a") * F.col("my")).alias("ty"))
 
@@ -56,11 +65,24 @@ def inliers(found: DataFrame, key: str, column: str = "residual", factor: float
     return df.where(~used | F.col("__in")).select(*found.columns)
 
 
-def robust_similarity(points: DataFrame, key: str) -> DataFrame:
-    """Fit, drop outliers once, fit again; with residuals over all points."""
+def robust_similarity(points: DataFrame, key: str, gsd: float = 1.0, expected_deg: float = 0.0) -> DataFrame:
+    """Fit, drop outliers once, fit again; with residuals, in metres by ``gsd``, of the
+    points that were kept, and what the rotation differs from the expected one."""
     kept = inliers(residuals(points, similarity(points, key), key), key).drop("residual")
     fit = similarity(kept, key)
-    r = residuals(points, fit, key)
-    report = r.groupBy(key).agg(F.count("*").alias("points"), F.median("residual").alias("median_m"), F.sqrt(F.avg(F.col("residual") ** 2)).alias("rms_m"), F.max("residual").alias("max_m"))
+    n = points.groupBy(key).agg(F.count("*").alias("points"))
+    r = residuals(kept, fit, key).withColumn("residual", F.col("residual") * gsd).join(n, key)
+    report = r.groupBy(key).agg(F.first("points").alias("points"), F.median("residual").alias("median_m"), F.sqrt(F.avg(F.col("residual") ** 2)).alias("rms_m"), F.max("residual").alias("max_m"))
     out = fit.join(report, key)
-    return out.select(key, "points", (F.col("points") - F.col("n")).alias("outliers"), F.degrees(F.atan2("b", "a")).alias("rotation_deg"), F.hypot("a", "b").alias("scale"), "median_m", "rms_m", "max_m")
+    return out.select(key, "points", (F.col("points") - F.col("n")).alias("outliers"), F.degrees(F.atan2("b", "a")).alias("rotation_deg"), F.hypot("a", "b").alias("scale"), "median_m", "rms_m", "max_m", (F.degrees(F.atan2("b", "a")) - expected_deg).alias("rotation_residual_deg"))
+
+
+def enough_matches(matches: DataFrame, least: int = 10) -> DataFrame:
+    """Matches of the image pairs that have ``least`` of them."""
+    n = matches.groupBy("i", "j").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("i", "j")
+    return matches.join(n, ["i", "j"], "left_semi")
+
+
+def constraints(inlying: DataFrame, least: int = 12) -> DataFrame:
+    """(i, j, n_inlier) of the pairs with ``least`` inliers."""
+    return inlying.groupBy("i", "j").agg(F.count("*").alias("n_inlier")).where(F.col("n_inlier") >= least)

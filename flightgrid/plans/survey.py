@@ -51,7 +51,7 @@ def r4(c: Column | str) -> Column:
 
 # ---- sources and checks
 
-FILES = "select source as folder, source || '_' || lpad(cast(doc_id % 10000 as varchar(9)), 4, '0') || case when doc_id % 3 = 0 then '_D.JPG' when doc_id % 3 = 1 then '_d.jpg' else '.tif' end as name, n_chars as size, doc_id as mtime from documents where source <> 'src3'"
+FILES = "select source as folder, source || '_' || lpad(cast(doc_id % 10000 as varchar(9)), 4, '0') || case when doc_id % 3 = 0 then '_D.JPG' when doc_id % 3 = 1 then '_d.jpg' else '.tif' end as name, n_chars as size, doc_id as mtime from documents"
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -70,12 +70,17 @@ def s3_missing_files(spark, d):
     return checks.missing(f.where("mtime % 7 = 0").select("folder", "name"), f.where("mtime % 14 = 0").select("folder", "name"), ["folder", "name"])
 
 
-@query(f"with f as ({FILES}) select name, cast(nullif(regexp_extract(name, '_([0-9]{{4}})_D\\.JPG', 1, 'i'), '') as int) as shot from f")
+@query(f"with f as ({FILES}) select name, cast(nullif(regexp_extract(name, '_([0-9]{{4}})_D\\.JPG', 1, 'i'), '') as int) as frame from f")
+def f2_frame_name(spark, d):
+    return _files(spark, d).select("name", checks.frame_number(F.col("name")).alias("frame"))
+
+
+@query(f"with f as ({FILES}) select name, cast(regexp_extract(split_part(name, '.', 1), '[0-9]+') as bigint) as shot from f")
 def s16_shot_number(spark, d):
     return _files(spark, d).select("name", checks.shot_number(F.col("name")).alias("shot"))
 
 
-@query(f"with f as ({FILES}) select folder, count(*) as files, max(mtime) as newest, substr(sha256(string_agg(name || '|' || size || '|' || mtime || chr(10), '' order by name || '|' || size || '|' || mtime)), 1, 16) as digest from f group by folder")
+@query(f"with f as ({FILES}) select folder, count(*) as files, max(mtime) as newest, substr(sha256(string_agg(name || '|' || size || '|' || mtime || chr(10), '' order by name, size, mtime)), 1, 16) as digest from f group by folder")
 def e33_fileset_digest(spark, d):
     return checks.fileset_digest(_files(spark, d), "folder")
 
@@ -210,12 +215,16 @@ def w6_demotion(spark, d):
     return flight.demote(m, flight.legs(m, 12.0)).select("flight_id", "ord", "is_curve", "heading")
 
 
-@query(f"""with recursive shots_raw as ({fx.SHOTS}), fx_shots as ({fx.SHOT_COLUMNS}), u as (select flight_id, ord, east_m, north_m, row_number() over (partition by flight_id order by ord) as n from fx_shots where gimbal_pitch_deg is null or gimbal_pitch_deg < -87),
+_ENDS = "ends as (select flight_id, first_ord as ord from legs union select flight_id, last_ord from legs)"
+
+
+@query(f"""{LEGS.replace('with shots_raw', 'with recursive shots_raw', 1)}, {_ENDS}, u as (select m.flight_id, m.ord, m.east_m, m.north_m, e.ord is not null as fixed, row_number() over (partition by m.flight_id order by m.ord) as n from mk m left join ends e on m.flight_id = e.flight_id and m.ord = e.ord where m.usable),
 t(flight_id, n, ord, kx, ky, keep) as (select flight_id, n, ord, east_m, north_m, true from u where n = 1 union all
-select u.flight_id, u.n, u.ord, case when sqrt((u.east_m - kx) ** 2 + (u.north_m - ky) ** 2) >= 5 then u.east_m else kx end, case when sqrt((u.east_m - kx) ** 2 + (u.north_m - ky) ** 2) >= 5 then u.north_m else ky end, sqrt((u.east_m - kx) ** 2 + (u.north_m - ky) ** 2) >= 5 from t join u on u.flight_id = t.flight_id and u.n = t.n + 1)
+select flight_id, n, ord, case when take then x else kx end, case when take then y else ky end, take from (select u.flight_id, u.n, u.ord, t.kx, t.ky, u.east_m as x, u.north_m as y, u.fixed or sqrt((u.east_m - kx) ** 2 + (u.north_m - ky) ** 2) >= 6 as take from t join u on u.flight_id = t.flight_id and u.n = t.n + 1) z)
 select flight_id, ord from t where keep""")
 def w7_thinning(spark, d):
-    return flight.thin(flight.mark_curves(_shots(spark, d)), 5.0)
+    m = flight.mark_curves(_shots(spark, d))
+    return flight.thin(flight.with_endpoints(m, flight.legs(m, 12.0)), flight.thinning_step(15.0, 0.6))
 
 
 @query(f"{SHOTS}, k as (select * from fx_shots where ord % 3 = 0) select * from (select flight_id, ord as i, lead(ord) over w as j, round(lead(east_m) over w - east_m, 6) as dx, round(-(lead(north_m) over w - north_m), 6) + 0e0 as dy from k window w as (partition by flight_id order by ord)) z where j is not null")
@@ -268,7 +277,7 @@ def a8_degrees(spark, d):
     return graph.degrees(*_edges(spark, d))
 
 
-_REACH = f"with recursive e as ({fx.EDGES}), both_ as (select i as a, j as b from e union all select j, i from e), r(node, root) as (select c_custkey, c_custkey from customer union select b.b, r.root from r join both_ b on b.a = r.node), comp as (select node, min(root) as component from r group by node)"
+_REACH = f"with recursive e as ({fx.EDGES}), both_ as (select i as a, j as b from e union all select j, i from e), r(node, root) using key (node) as (select c_custkey, c_custkey from customer union select b.b as node, min(r.root) as root from r join both_ b on b.a = r.node join recurring.r x on x.node = b.b where r.root < x.root group by b.b), comp as (select node, root as component from r)"
 
 
 @query(f"{_REACH} select node, component from comp")
@@ -294,9 +303,9 @@ def t4_components_by_size(spark, d):
 _BITS = "select vec_id as feature, label as image, embedding from embeddings where vec_id < 400"
 
 
-@query(f"""with f as (select vec_id as feature, label as image, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) as b from embeddings),
-p as (select a.image as i, b.image as j from (select distinct image from f where image <= 1) a join (select distinct image from f where image <= 1) b on a.image < b.image),
-dd as (select p.i, p.j, q.feature as q, t.feature as t, (select sum(case when q.b[k] <> t.b[k] then 1 else 0 end) from range(1, 65) g(k)) as d from p join f q on q.image = p.i join f t on t.image = p.j),
+@query(f"""with f as (select vec_id as feature, label as image, cast(list_aggregate(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), 'string_agg', '') as bit) as b from embeddings where label in (select label from embeddings group by label having count(*) >= 8)),
+p as (select a.image as i, b.image as j from (select distinct image from f) a join (select distinct image from f) b on a.image < b.image),
+dd as (select p.i, p.j, q.feature as q, t.feature as t, bit_count(xor(q.b, t.b)) as d from p join f q on q.image = p.i join f t on t.image = p.j),
 n as (select *, row_number() over (partition by i, j, q order by d, t) as n from dd)
 select a.i, a.j, a.q, a.t, cast(a.d as int) as d1, cast(b.d as int) as d2 from n a join n b on a.i = b.i and a.j = b.j and a.q = b.q and a.n = 1 and b.n = 2 where a.d < 0.75 * b.d""")
 def j4_descriptor_matches(spark, d):
@@ -305,20 +314,20 @@ def j4_descriptor_matches(spark, d):
     for i in range(1, 64):
         bits = bits.bitwiseOR(sign(i))
     f = _t(spark, d, "embeddings").select(F.col("vec_id").alias("feature"), F.col("label").alias("image"), bits.alias("bits"))
-    images = f.select("image").distinct().where("image <= 1")
+    images = f.select("image").distinct()  # a few labels
     pairs = images.withColumnRenamed("image", "i").join(images.withColumnRenamed("image", "j"), F.col("i") < F.col("j"))
     return match.ratio_test(match.two_nearest(pairs, f))
 
 
 _PTS = "select flight_id, ord, east_m as x, -north_m as y, east_m * 0.9 - (-north_m) * 0.1 + 5 + (value % 1) + case when ord = 7 then 500 else 0 end as u, east_m * 0.1 + (-north_m) * 0.9 - 3 + (value * 7 % 1) as v from fx_shots"
-_FIT = """(select flight_id, count(*) as n, avg(x) as mx, avg(y) as my, avg(u) as mu, avg(v) as mv, avg(x*x)+avg(y*y)-avg(x)*avg(x)-avg(y)*avg(y) as s, avg(x*u)+avg(y*v)-avg(x)*avg(u)-avg(y)*avg(v) as sa, avg(x*v)-avg(y*u)-avg(x)*avg(v)+avg(y)*avg(u) as sb from {t} group by flight_id)"""
-_AB = "(select *, sa / s as a, sb / s as b, mu - sa / s * mx + sb / s * my as tx, mv - sb / s * mx - sa / s * my as ty from {f} z where s > 0)"
+_FIT = """(select flight_id, count(*) as n, avg(x) as mx, avg(y) as my, avg(u) as mu, avg(v) as mv, avg(x*x)+avg(y*y)-avg(x)*avg(x)-avg(y)*avg(y) as s, avg(x*u)+avg(y*v)-avg(x)*avg(u)-avg(y)*avg(v) as sa, avg(x*v)-avg(y*u)-avg(x)*avg(v)+avg(y)*avg(u) as sb, (avg(x*u)-avg(x)*avg(u))*(avg(y*v)-avg(y)*avg(v))-(avg(y*u)-avg(y)*avg(u))*(avg(x*v)-avg(x)*avg(v)) as det, sqrt((avg(x*u)-avg(x)*avg(u)-avg(y*v)+avg(y)*avg(v))**2 + (avg(y*u)-avg(y)*avg(u)+avg(x*v)-avg(x)*avg(v))**2) as mirrored from {t} group by flight_id)"""
+_AB = "(select *, mu - a * mx + b * my as tx, mv - b * mx - a * my as ty from (select *, sc * coalesce(sa / nullif(sqrt(sa*sa+sb*sb), 0), 1) as a, sc * coalesce(sb / nullif(sqrt(sa*sa+sb*sb), 0), 0) as b from (select *, case when s > 1e-12 then case when det < 0 then mirrored else sqrt(sa*sa+sb*sb) end / s else 1 end as sc from {f} z where n > 1) z2) z3)"
 _RES = "(select p.*, sqrt((a * x - b * y + tx - u) ** 2 + (b * x + a * y + ty - v) ** 2) as residual from {p} p join {f} f on p.flight_id = f.flight_id)"
 
 
-@query(f"{SHOTS}, p as ({_PTS}), f as (select * from {_AB.format(f=_FIT.format(t='p'))} y) select flight_id, n, round(a, 6) as a, round(b, 6) as b, round(tx, 4) as tx, round(ty, 4) as ty from f where n > 2")
+@query(f"{SHOTS}, p as ({_PTS}), f as (select * from {_AB.format(f=_FIT.format(t='p'))} y) select flight_id, n, round(a, 6) as a, round(b, 6) as b, round(tx, 4) as tx, round(ty, 4) as ty from f")
 def a11_similarity(spark, d):
-    fit = match.similarity(_shots(spark, d, _PTS), "flight_id").where("n > 2")
+    fit = match.similarity(_shots(spark, d, _PTS), "flight_id").where("n > 1")
     return fit.select("flight_id", "n", r6("a").alias("a"), r6("b").alias("b"), F.round("tx", 4).alias("tx"), F.round("ty", 4).alias("ty"))
 
 
@@ -326,11 +335,11 @@ def a11_similarity(spark, d):
 m as (select *, median(residual) over (partition by flight_id) as med, count(*) over (partition by flight_id) as cnt from r), m2 as (select *, median(abs(residual - med)) over (partition by flight_id) as mad from m),
 m3 as (select *, residual < med + 4 * 1.4826e0 * mad as ok from m2), m4 as (select *, count(*) filter (ok) over (partition by flight_id) as k from m3),
 q as (select flight_id, ord, x, y, u, v from m4 where not (cnt > 8 and mad > 0 and k >= greatest(8, cnt / 2)) or ok),
-g as (select * from {_AB.format(f=_FIT.format(t='q'))} y), rr as (select p.flight_id, sqrt((a * x - b * y + tx - u) ** 2 + (b * x + a * y + ty - v) ** 2) as residual, n, a, b from p join g on p.flight_id = g.flight_id)
-select flight_id, count(*) as points, count(*) - max(n) as outliers, round(degrees(atan2(max(b), max(a))), 4) as rotation_deg, round(sqrt(max(a) ** 2 + max(b) ** 2), 5) as scale, round(median(residual), 4) as median_m, round(sqrt(avg(residual ** 2)), 4) as rms_m from rr group by flight_id having count(*) > 20""")
+g as (select * from {_AB.format(f=_FIT.format(t='q'))} y), rr as (select q.flight_id, 0.5e0 * sqrt((a * x - b * y + tx - u) ** 2 + (b * x + a * y + ty - v) ** 2) as residual, n, a, b, c.all_ from q join g on q.flight_id = g.flight_id join (select flight_id, count(*) as all_ from p group by flight_id) c on c.flight_id = q.flight_id)
+select flight_id, max(all_) as points, max(all_) - max(n) as outliers, round(degrees(atan2(max(b), max(a))) - 1.5e0, 4) as rotation_residual_deg, round(max(residual), 4) as max_m, round(degrees(atan2(max(b), max(a))), 4) as rotation_deg, round(sqrt(max(a) ** 2 + max(b) ** 2), 5) as scale, round(median(residual), 4) as median_m, round(sqrt(avg(residual ** 2)), 4) as rms_m from rr group by flight_id""")
 def a12_robust_fit(spark, d):
-    got = match.robust_similarity(_shots(spark, d, _PTS), "flight_id").where("points > 20")
-    return got.select("flight_id", "points", "outliers", F.round("rotation_deg", 4).alias("rotation_deg"), F.round("scale", 5).alias("scale"), F.round("median_m", 4).alias("median_m"), F.round("rms_m", 4).alias("rms_m"))
+    got = match.robust_similarity(_shots(spark, d, _PTS), "flight_id", 0.5, 1.5)
+    return got.select("flight_id", "points", "outliers", F.round("rotation_deg", 4).alias("rotation_deg"), F.round("scale", 5).alias("scale"), F.round("median_m", 4).alias("median_m"), F.round("rms_m", 4).alias("rms_m"), F.round("max_m", 4).alias("max_m"), F.round("rotation_residual_deg", 4).alias("rotation_residual_deg"))
 
 
 # ---- canvas and pixels

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from flightgrid.functions import geo
 from flightgrid.operators import flight, graph, match, points, raster
-from flightgrid.plans import survey
-from flightgrid.sources import checks
+from flightgrid.plans import delivery, survey  # noqa: F401
+from flightgrid.sources import checks, readers
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +30,7 @@ def near(v):
     return float(f"{v:.6g}") + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(survey.QUERIES))
+@pytest.mark.parametrize("name", sorted(survey.ORACLE))
 def test_query_equals_sql(spark, con, name):
     df = survey.QUERIES[name](spark, SF)
     got = con.execute(survey.ORACLE[name])
@@ -111,7 +111,8 @@ def test_known_similarity_is_recovered(spark):
 def test_ratio_test_needs_two(spark):
     f = spark.createDataFrame([(1, 1, 0), (2, 2, 1), (3, 3, 0), (3, 4, -1)], "image long, feature long, bits long")
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "i long, j long")
-    assert [(x.i, x.j, x.t) for x in match.ratio_test(match.two_nearest(pairs, f)).collect()] == [(1, 3, 3)]
+    assert [(x.i, x.j, x.t) for x in match.ratio_test(match.two_nearest(pairs, f, least=1)).collect()] == [(1, 3, 3)]
+    assert match.two_nearest(pairs, f).count() == 0  # eight descriptors on either side
 
 
 def test_points_fall_back_on_shorter_stems(spark):
@@ -139,3 +140,96 @@ def test_streaming_windows_equal_batch(spark, tmp_path):
     q.awaitTermination()
     key = lambda df: sorted((str(r.start), r.event_type, r.n) for r in df.collect())
     assert key(spark.table("per_window")) == key(shots_per_window(events))
+
+
+def test_published_utm_points(spark):
+    """The CN Tower, and 0 N 0 E, in zones 17 and 31, and back."""
+    rows = [(43.642566667, -79.387138889, 32617, 630084.0, 4833438.0), (0.0, 0.0, 32631, 166021.44, 0.0), (-33.0, 3.0, 32731, 500000.0, None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "lat double, lon double")
+    east, north = geo.to_utm(F.col("lat"), F.col("lon"))
+    got = df.select("lat", "lon", geo.utm_epsg(F.col("lat"), F.col("lon")).alias("epsg"), east.alias("e"), north.alias("n"))
+    got = got.select("*", *(c.alias(x) for c, x in zip(geo.from_utm(F.col("e"), F.col("n"), F.col("epsg")), ("lat2", "lon2"), strict=True)))
+    for x, r in zip(got.collect(), rows, strict=True):
+        assert x.epsg == r[2] and x.e == pytest.approx(r[3], abs=1.0)
+        assert r[4] is None or x.n == pytest.approx(r[4], abs=1.0)
+        assert (x.lat2, x.lon2) == pytest.approx(r[:2], abs=1e-8)
+
+
+def clipped_area(p, q):
+    """Shared area of convex polygons, by half planes."""
+    area = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True)) / 2
+    p, q = (r if area(r) > 0 else r[::-1] for r in (p, q))
+    for a, b in zip(q, q[1:] + q[:1], strict=True):
+        side = lambda v, a=a, b=b: (b[0] - a[0]) * (v[1] - a[1]) - (b[1] - a[1]) * (v[0] - a[0])
+        out = []
+        for u, v in zip(p, p[1:] + p[:1], strict=True):
+            if side(u) >= 0:
+                out.append(u)
+            if side(u) * side(v) < 0:
+                t = side(u) / (side(u) - side(v))
+                out.append((u[0] + t * (v[0] - u[0]), u[1] + t * (v[1] - u[1])))
+        p = out
+    return abs(area(p)) if len(p) > 2 else 0.0
+
+
+def test_overlap_of_rotated_frames(spark):
+    r = random.Random(5)
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    turn = lambda q, w, x, y: [(math.cos(w) * a - math.sin(w) * b + x, math.sin(w) * a + math.cos(w) * b + y) for a, b in q]
+    pairs = [(square, square), (square, turn(square, 0, 2, 0)), (square, turn(square, 0, 9, 0)), (square, square[::-1]), (square, [(0.0, 0.0)] * 4)]
+    pairs += [(turn(square, r.uniform(0, 6), r.uniform(0, 2), r.uniform(0, 2)), turn(square, r.uniform(0, 6), r.uniform(0, 2), r.uniform(0, 2))) for _ in range(60)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<struct<x: double, y: double>>, b array<struct<x: double, y: double>>")
+    for x in df.select("i", geo.overlap_fraction(F.col("a"), F.col("b")).alias("o")).collect():
+        a, b = pairs[x.i]
+        assert x.o == pytest.approx(0 if b[0] == b[1] else clipped_area(a, b) / 4, abs=1e-9)
+    assert delivery.QUERIES["j3_rotated_pairs"](spark, SF).where("overlap < 0.25 or overlap > 1.0001 or i >= j").count() == 0
+
+
+def test_similarity_of_reflected_and_single_places(spark):
+    mirrored = [(1, x, y, -x, y) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 2.0), (3.0, 7.0))]
+    one_place = [(2, 1.0, 1.0, float(i), 0.0) for i in range(3)]
+    df = spark.createDataFrame(mirrored + one_place, "k int, x double, y double, u double, v double")
+    import numpy as np
+
+    for fit in match.similarity(df, "k").collect():
+        p = np.array([r[1:] for r in mirrored + one_place if r[0] == fit.k])
+        s, d = p[:, :2] - p[:, :2].mean(0), p[:, 2:] - p[:, 2:].mean(0)
+        u, values, vt = np.linalg.svd(d.T @ s / len(p))
+        turn = u @ np.diag([1, np.sign(np.linalg.det(u @ vt))]) @ vt
+        spread = (s**2).sum() / len(p)
+        scale = values.sum() / spread if spread > 0 else 1.0
+        assert (fit.a, fit.b) == pytest.approx((scale * turn[0, 0], scale * turn[1, 0]))
+
+
+def test_readers_of_a_folder(spark, tmp_path):
+    import json
+
+    (tmp_path / "calibration.json").write_text(json.dumps({"cameraMatrix": [[2000.5, 0, 1], [0, 1, 1], [0, 0, 1]], "imageSize": [40, 30]}))
+    shot = lambda i: {"SourceFile": f"f/DJI_{i:04d}_D.JPG", "EXIF:GPSLatitude": "43 deg 12' 36.00\"", "EXIF:GPSLongitude": "10 deg 0' 0.00\"", "XMP:GPSLongitude": "10 W", "XMP:RelativeAltitude": "+30.5", "XMP:FlightYawDegree": 12}
+    (tmp_path / "metadata.json").write_text(json.dumps([shot(3), {"SourceFile": "other.jpg"}, shot(1), shot(2)]))
+    (tmp_path / "translations.json").write_text("[[9, 9], [1, 2], [3, 4]]")
+    for i in (1, 2, 3, 7):
+        (tmp_path / f"DJI_{i:04d}_D.JPG").write_bytes(b"x")
+    got = readers.load(spark, "exif", f"file://{tmp_path}", 2).orderBy("index").collect()
+    assert [(r["index"], r.vo_idx, r.east, r.north) for r in got] == [(2, 1, 0.0, 0.0), (3, 2, 3.0, 4.0)]
+    assert got[0].lat == pytest.approx(43.21) and got[0].lon == -10 and got[0].gsd == pytest.approx(30.5 / 2000.5) and got[0].width == 40
+    with pytest.raises(Exception, match="no image in the range"):
+        readers.load(spark, "exif", f"file://{tmp_path}", 900).collect()
+    (tmp_path / "translations.json").write_text("[[9, 9]]")
+    with pytest.raises(Exception, match="no position"):
+        readers.load(spark, "exif", f"file://{tmp_path}").collect()
+    with pytest.raises(ValueError):
+        readers.load(spark, "other", str(tmp_path))
+    no = spark.createDataFrame([('{"cameraMatrix": [[1]]}',)], "json string")
+    with pytest.raises(Exception, match="no image size"):
+        readers.calibration(no).collect()
+    assert spark.createDataFrame([("ab<x:xmpmeta q></x:xmpmeta>c",)], "c string").select(readers.packet(F.col("c"))).first()[0] == "<x:xmpmeta q></x:xmpmeta>"
+
+
+def test_names_without_numbers_and_long_suffixes(spark):
+    assert spark.createDataFrame([("ortho_12_3.tif",)], "n string").select(checks.shot_number(F.col("n"))).first()[0] == 12
+    with pytest.raises(Exception, match="no shot number"):
+        spark.createDataFrame([("none.tif",)], "n string").select(checks.shot_number(F.col("n"))).collect()
+    s = spark.createDataFrame([("d/a.JPG", 1)], "path string, ord int")
+    p = spark.createDataFrame([("a_1_2_3_4_5_6_7.png",), ("_4.png",)], "image string")
+    assert {(r.image, r.shot) for r in points.resolve(p, s).collect()} == {("a_1_2_3_4_5_6_7.png", 1), ("_4.png", None)}
