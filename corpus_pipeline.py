@@ -49,7 +49,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokenisation", tokenisation),
 ]
 
-#: Training and tokenisation can't be said in SQL; the tests hold run() against brute force.
+#: Training and tokenisation can't be said in SQL; the tests hold run() against planted documents,
+#: and each stage's operator against brute force.
 ORACLE_SQL = None
 
 
