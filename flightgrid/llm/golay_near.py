@@ -22,9 +22,9 @@ cells (cells that differ are at most as many as shingles of one side only).  Wha
 is verified exactly, so that the classes are those of all pairs.
 
 The order is that of the hashes, but for hot shingles, which come last: those that are in
-more than a 50,000th of all prefix rows (``hot`` at least) by the hashes alone.  There are
-fewer than 50,000 of them at any size, so they are sent to the executors, and prefixes
-that hold one are made again.  So a passage that a third of all documents share is in
+more than a 500,000th of all prefix rows (``hot`` at least) by the hashes alone.  There are
+fewer than 500,000 of them at any size (4 MB), so they are sent to the executors, and
+prefixes that hold one are made again.  So a passage that a third of all documents share is in
 almost no prefix, and only documents that consist of hot passages meet by them.
 
 Texts with equal fingerprints and equal shingles are one node (named by a hash of its
@@ -63,7 +63,7 @@ TABLE = 56
 BITS = 64 * LANES
 CODE, EXACT = 23, 13
 #: Hot shingles are in more than this part of all prefix rows.
-SHARE = 50_000
+SHARE = 500_000
 #: The bit of a prefix key that puts hot shingles last.
 LAST = 1 << 62
 SALTS = mix(np.arange(1, LANES + 1, dtype=np.uint64))
@@ -222,7 +222,7 @@ def with_hot_last(docs: DataFrame, nodes: DataFrame, width: int, least: float, h
     counts = cut(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "near-counts")
     rows = nodes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     many = counts.where(F.col("m") > max(hot, rows // SHARE)).select("key")  # under SHARE rows
-    keys = np.sort(np.array([r.key for r in many.collect()], np.int64))
+    keys = np.sort(many.toArrow().column("key").to_numpy())
     if not len(keys):
         return nodes, counts
     sent = nodes.sparkSession.sparkContext.broadcast(keys)
@@ -301,7 +301,7 @@ def classes(docs: DataFrame, nodes: DataFrame, width: int, least: float, tables:
     return connected(nodes, links.unionAll(verified(docs, nodes, crossing(rows, least), width, least, counted=True)))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, tables: int = 8, small: int = 64, loose: int = 104, hot: int = 1000) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, tables: int = 8, small: int = 64, loose: int = 104, hot: int = 50) -> DataFrame:
     """``docs`` with the rows of least ``key`` of each class of near copies."""
     name = F.xxhash64(F.col(key).isNull(), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text).isNull(), F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(key).cast("long").alias("id"), name.alias("row"), F.col(text).alias("text"))
