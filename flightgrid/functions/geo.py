@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,41 +158,64 @@ def polygon_area(ring: Column) -> Column:
     return F.when(n < 3, F.lit(0.0)).otherwise(F.abs(twice) / 2)
 
 
-def _clip(ring: Column, p: Column, q: Column) -> Column:
-    """The part of a ring to the left of the line p -> q (counter-clockwise clips)."""
-    side = lambda v: (q.x - p.x) * (v.y - p.y) - (q.y - p.y) * (v.x - p.x)
-    n = F.size(ring)
-
-    def step(i: Column) -> Column:
-        u, v = F.get(ring, i), F.get(ring, (i + 1) % n)
-        du, dv = side(u), side(v)
-        t = du / F.when(du == dv, F.lit(1.0)).otherwise(du - dv)
-        cross = F.struct((u.x + t * (v.x - u.x)).alias("x"), (u.y + t * (v.y - u.y)).alias("y"))
-        here = F.struct(u.x.alias("x"), u.y.alias("y"))
-        none = F.slice(F.array(here), 1, 0)
-        return F.concat(F.when(du >= 0, F.array(here)).otherwise(none), F.when(((du > 0) & (dv < 0)) | ((du < 0) & (dv > 0)), F.array(cross)).otherwise(none))
-
-    return F.when(n == 0, ring).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), step)))
-
-
-def oriented(ring: Column) -> Column:
-    """Counter-clockwise."""
-    n = F.size(ring)
-    twice = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, i: acc + F.get(ring, i).x * F.get(ring, (i + 1) % n).y - F.get(ring, (i + 1) % n).x * F.get(ring, i).y)
-    return F.when(twice < 0, F.reverse(ring)).otherwise(ring)
-
-
-def intersection_area(a: Column, b: Column) -> Column:
-    """Area that two convex quads share: each side of one cuts the other."""
-    clip = oriented(b)
-    sides = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(F.get(clip, k).alias("p"), F.get(clip, (k + 1) % 4).alias("q")))
-    return F.aggregate(sides, oriented(a), lambda part, s: _clip(part, s.p, s.q), polygon_area)
+def _twice(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Twice the signed areas of rings, one a column; slots from ``n`` on repeat the
+    first vertex."""
+    total = np.zeros(x.shape[1])
+    for i in range(len(x)):
+        j = (i + 1) % len(x)
+        total = np.where(i < n, total + x[i] * y[j] - x[j] * y[i], total)
+    return total
+
+
+def _clipped(x: np.ndarray, y: np.ndarray, n: np.ndarray, p: tuple, q: tuple) -> tuple:
+    """The parts of rings to the left of the lines p -> q."""
+    side = (q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0])
+    after = np.roll(side, -1, 0)
+    used = np.arange(len(x))[:, None] < n
+    here = used & (side >= 0)
+    cross = used & (((side > 0) & (after < 0)) | ((side < 0) & (after > 0)))
+    t = side / np.where(side == after, 1.0, side - after)
+    ends = np.cumsum(here.astype(np.int8) + cross, 0)
+    n, size = ends[-1], max(1, int(ends[-1].max()))
+    out = []
+    for v in (x, y):
+        w = np.zeros((size, v.shape[1]))
+        w[(ends - here - cross)[here], np.nonzero(here)[1]] = v[here]
+        w[(ends - 1)[cross], np.nonzero(cross)[1]] = (v + t * (np.roll(v, -1, 0) - v))[cross]
+        out.append(np.where(np.arange(size)[:, None] < n, w, w[0]))
+    return *out, n
+
+
+def shared_fraction(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Shared area of convex quads over the smaller, one pair a column: each side of b,
+    counter-clockwise, cuts a.  0 where a quad is degenerate or a coordinate missing."""
+    if not ax.shape[1]:
+        return np.zeros(0)
+    four = np.full(ax.shape[1], 4)
+    with np.errstate(all="ignore"):
+        ta, tb = _twice(ax, ay, four), _twice(bx, by, four)
+        x, y, n = np.where(ta < 0, ax[::-1], ax), np.where(ta < 0, ay[::-1], ay), four
+        bx, by = np.where(tb < 0, bx[::-1], bx), np.where(tb < 0, by[::-1], by)
+        for k in range(4):
+            x, y, n = _clipped(x, y, n, (bx[k], by[k]), (bx[(k + 1) % 4], by[(k + 1) % 4]))
+        least = np.minimum(np.abs(ta), np.abs(tb)) / 2
+        area = np.where(n < 3, 0.0, np.abs(_twice(x, y, n)) / 2)
+        return np.where(least > 0, area / np.where(least > 0, least, 1.0), 0.0)
+
+
+def _fraction(*columns: pa.Array) -> pa.Array:
+    v = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in columns])
+    return pa.array(shared_fraction(v[0:4], v[4:8], v[8:12], v[12:16]))
 
 
 def overlap_fraction(a: Column, b: Column) -> Column:
-    """Shared area over the smaller of two quads; 0 where either is degenerate."""
-    least = F.least(polygon_area(a), polygon_area(b))
-    return F.when(least > 0, intersection_area(a, b) / least).otherwise(0.0)
+    """Shared area over the smaller of two quads; 0 where either is degenerate.  Python
+    over Arrow batches: as nested higher-order functions, which are not compiled, the
+    clip takes milliseconds a pair."""
+    # Not to be run again for a filter on its result.
+    shared = F.arrow_udf(_fraction, "double").asNondeterministic()
+    return shared(*(F.get(q, F.lit(i))[c].cast("double") for q in (a, b) for c in "xy" for i in range(4)))
 
 
 def tile_to_utm(x: Column, y: Column, ahead_x: Column, ahead_y: Column, gsd: Column, w: Column, h: Column) -> Column:

@@ -136,11 +136,14 @@ def k10_stamp(spark, d):
 def j3_rotated_pairs(spark, d):
     """Shared areas of rotated frames; no SQL, the tests hold it against another clip."""
     w, h = F.lit(14.0), F.lit(10.0)
+    pose = ("pa", "pb", "px", "py")
     p = geo.initial_pose(F.col("east_m"), -F.col("north_m"), F.col("flight_yaw_deg"), F.col("relative_alt_m") / 30, w, h)
-    s = _shots(spark, d).select("flight_id", F.col("ord").alias("k"), F.col("east_m").alias("x"), (-F.col("north_m")).alias("y"), geo.corners(p, w, h).alias("quad"), (F.col("relative_alt_m") / 30 * 74**0.5).alias("r"))
+    s = _shots(spark, d).select("flight_id", F.col("ord").alias("k"), F.col("east_m").alias("x"), (-F.col("north_m")).alias("y"), (F.col("relative_alt_m") / 30 * 74**0.5).alias("r"), *(c.alias(n) for c, n in zip(p, pose, strict=True)))
     largest = s.agg(F.max("r")).first()[0] or 1.0
     found = graph.grid_join(s, 2 * largest + 1e-9)
-    return found.select("flight_id", F.col("a.k").alias("i"), F.col("b.k").alias("j"), r4(geo.overlap_fraction(F.col("a.quad"), F.col("b.quad"))).alias("overlap")).where("overlap >= 0.25")
+    quad = lambda f: geo.corners(tuple(F.col(f"{f}.{c}") for c in pose), w, h)
+    pairs = found.select("flight_id", F.col("a.k").alias("i"), F.col("b.k").alias("j"), r4(geo.overlap_fraction(quad("a"), quad("b"))).alias("overlap"))
+    return pairs.where("overlap >= 0.25")
 
 
 @query(f"{survey._REACH}, dg as (select c_custkey as node, count(v) as degree from customer left join (select i as v from e union all select j from e) z on v = c_custkey group by c_custkey), sz as (select component, count(*) as n from comp group by component) select (select count(*) from e) as pairs, (select count(*) from sz) as components, (select max(n) from sz) as largest_component, count(*) filter (degree = 0) as isolated, min(degree) as degree_min, median(degree) as degree_median, max(degree) as degree_max from dg")

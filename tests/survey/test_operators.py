@@ -185,6 +185,18 @@ def test_overlap_of_rotated_frames(spark):
     assert delivery.QUERIES["j3_rotated_pairs"](spark, SF).where("overlap < 0.25 or overlap > 1.0001 or i >= j").count() == 0
 
 
+def test_rotated_overlaps_run_once_and_in_batches(spark, capsys):
+    """No interpreted lambdas, and one evaluation although the result is filtered."""
+    delivery.QUERIES["j3_rotated_pairs"](spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert "lambda" not in plan and plan.count("ArrowEvalPython [") == 1
+    quad = "array<struct<x: double, y: double>>"
+    square, bent = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], [(1.0, 1.0), (3.0, 0.0), (4.0, 4.0), (1.0, 2.0)]
+    df = spark.createDataFrame([(0, square, None), (1, square, bent), (2, bent, square), (3, [(0.0, None)] * 4, square)], f"i int, a {quad}, b {quad}")
+    got = {x.i: x.o for x in df.select("i", geo.overlap_fraction(F.col("a"), F.col("b")).alias("o")).collect()}
+    assert got == {0: 0, 1: pytest.approx(clipped_area(square, bent) / 4), 2: pytest.approx(clipped_area(square, bent) / 4), 3: 0}
+
+
 def test_similarity_of_reflected_and_single_places(spark):
     mirrored = [(1, x, y, -x, y) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 2.0), (3.0, 7.0))]
     one_place = [(2, 1.0, 1.0, float(i), 0.0) for i in range(3)]
