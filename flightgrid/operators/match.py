@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def two_nearest(pairs: DataFrame, features: DataFrame, least: int = 8) -> DataFrame:
+def _two_least(queries: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and Hamming distances of the two targets nearest to each query, ties to
+    the first; a distance of 255 says that there is none."""
+    place, d = np.zeros((len(queries), 2), np.int64), np.full((len(queries), 2), 255, np.uint8)
+    step = max(1, 262_144 // max(1, len(targets)))
+    for at in range(0, len(queries) if len(targets) else 0, step):
+        x = np.bitwise_count(queries[at : at + step, None] ^ targets[None])
+        rows = np.arange(len(x))
+        for n in range(min(2, len(targets))):
+            k = x.argmin(1)
+            place[at : at + step, n], d[at : at + step, n] = k, x[rows, k]
+            x[rows, k] = 255
+    return place, d
+
+
+def _match_block(a: pa.Table, b: pa.Table) -> pa.Table:
+    """The two nearest of ``b`` for each row of ``a``; equal bits are compared once."""
+    b = b.sort_by("t")
+    bits, back = np.unique(a["bits"].to_numpy().view(np.uint64), return_inverse=True)
+    place, d = _two_least(bits, b["bits"].to_numpy().view(np.uint64))
+    place, d = place[back], d[back]
+    q, n = np.nonzero(d < 255)
+    return pa.table({"i": a["i"].take(q), "j": a["j"].take(q), "q": a["q"].take(q), "t": b["t"].take(place[q, n]), "d": d[q, n].astype(np.int32)})
+
+
+def two_nearest(pairs: DataFrame, features: DataFrame, least: int = 8, block_rows: int = 4_096, shard_rows: int = 32_768) -> DataFrame:
     """For image pairs (i, j): the two features of j nearest to each of i by Hamming
     distance of bit descriptors, ties by the feature number; images with fewer than
-    ``least`` features take no part.  Quadratic in the features
-    of a pair, as brute-force matching is; pairs are dealt over tasks."""
-    enough = features.groupBy("image").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("image")
-    features = features.join(enough, "image", "left_semi")
-    a = features.select(F.col("image").alias("i"), F.col("feature").alias("q"), F.col("bits").alias("qb"))
-    b = features.select(F.col("image").alias("j"), F.col("feature").alias("t"), F.col("bits").alias("tb"))
-    d = F.bit_count(F.col("qb").bitwiseXOR(F.col("tb")))
-    found = pairs.join(a, "i").join(b, "j").select("i", "j", "q", "t", d.alias("d"))
+    ``least`` features take no part, features without bits match nothing.  All of a
+    pair's features are compared, as brute-force matching does, in blocks of about
+    ``block_rows`` of i and ``shard_rows`` of j, each a group of its own, so that
+    distances are never rows.  Of equal descriptors in j the two first are enough."""
+    n = features.groupBy("image").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    parts = lambda rows: F.ceil(F.col("n") / rows).cast("int")
+    p = pairs.join(n.select(F.col("image").alias("i"), parts(block_rows).alias("blocks")), "i")
+    p = p.join(n.select(F.col("image").alias("j"), parts(shard_rows).alias("shards")), "j")
+    f = features.where("bits is not null").select("image", "feature", F.col("bits").cast("long").alias("bits"))
+    first = Window.partitionBy("image", "bits").orderBy("feature")
+    once = f.withColumn("__n", F.row_number().over(first)).where("__n <= 2")
+    deal = lambda m: F.pmod(F.xxhash64("feature"), F.col(m)).cast("int")
+    numbers = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    keys = ("i", "j", "block", "shard")
+    left = p.join(f.withColumnRenamed("image", "i"), "i").select("i", "j", deal("blocks").alias("block"), numbers("shards").alias("shard"), F.col("feature").alias("q"), "bits")
+    right = p.join(once.withColumnRenamed("image", "j"), "j").select("i", "j", numbers("blocks").alias("block"), deal("shards").alias("shard"), F.col("feature").alias("t"), "bits")
+    left, right = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (left, right))  # columns of their own
+    kinds = {c: x.schema[c].dataType.simpleString() for x in (left, right) for c in x.columns}
+    got = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_match_block, f"i {kinds['i']}, j {kinds['j']}, q {kinds['q']}, t {kinds['t']}, d int")
     order = Window.partitionBy("i", "j", "q").orderBy("d", "t")
-    return found.withColumn("n", F.row_number().over(order)).where("n <= 2")
+    return got.withColumn("n", F.row_number().over(order)).where("n <= 2")
 
 
 def ratio_test(nearest: DataFrame, ratio: float = 0.75) -> DataFrame:

@@ -313,7 +313,7 @@ def j4_descriptor_matches(spark, d):
     bits = sign(0)
     for i in range(1, 64):
         bits = bits.bitwiseOR(sign(i))
-    f = _t(spark, d, "embeddings").select(F.col("vec_id").alias("feature"), F.col("label").alias("image"), bits.alias("bits"))
+    f = _t(spark, d, "embeddings").select(F.col("vec_id").alias("feature"), F.col("label").alias("image"), F.when(F.col("embedding").isNotNull(), bits).alias("bits"))
     images = f.select("image").distinct()  # a few labels
     pairs = images.withColumnRenamed("image", "i").join(images.withColumnRenamed("image", "j"), F.col("i") < F.col("j"))
     return match.ratio_test(match.two_nearest(pairs, f))

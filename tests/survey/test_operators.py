@@ -115,6 +115,24 @@ def test_ratio_test_needs_two(spark):
     assert match.two_nearest(pairs, f).count() == 0  # eight descriptors on either side
 
 
+def test_two_nearest_in_blocks_equal_brute_force(spark):
+    """Equal and missing descriptors, several blocks and shards, ties by the number."""
+    r = random.Random(3)
+    f = [(image, 1000 * image + k, r.choice([None, -1, 0, 7, r.getrandbits(5), r.getrandbits(63)])) for image, n in ((1, 60), (2, 90), (3, 8), (4, 7)) for k in range(n)]
+    f += [(5, 5000 + k, 3 if k < 1 else None) for k in range(9)]
+    want = set()
+    for i, j in ((1, 2), (1, 3), (2, 3), (3, 5)):
+        for q in (x for x in f if x[0] == i and x[2] is not None):
+            near = sorted(((q[2] ^ t[2]) % 2**64).bit_count() * 10**6 + t[1] for t in f if t[0] == j and t[2] is not None)[:2]
+            want |= {(i, j, q[1], d % 10**6, d // 10**6, n + 1) for n, d in enumerate(near)}
+    features = spark.createDataFrame(f, "image int, feature long, bits long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4), (3, 5), (1, 9)], "i int, j int")
+    for sizes in ((4096, 32768), (7, 11)):
+        got = match.two_nearest(pairs, features, 8, *sizes)
+        assert dict(got.dtypes) == {"i": "int", "j": "int", "q": "bigint", "t": "bigint", "d": "int", "n": "int"}
+        assert sorted(map(tuple, got.select("i", "j", "q", "t", "d", "n").collect())) == sorted(want)
+
+
 def test_points_fall_back_on_shorter_stems(spark):
     s = spark.createDataFrame([("d/IMG_1.JPG", 1), ("e/img_1.tif", 4), ("d/IMG_1_2.JPG", 2)], "path string, ord int")
     p = spark.createDataFrame([("x\\img_1_2_0.png",), ("IMG_1_7.jpg",), ("other.jpg",), (None,)], "image string")
