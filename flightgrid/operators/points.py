@@ -55,7 +55,8 @@ def rerouted(points: DataFrame, frames: DataFrame) -> DataFrame:
     """``points`` (point_id, shot, u, v in UTM) with the shot to measure on, the pixel
     there and whether it is another one: the cited shot unless the point is outside of
     it and inside another, of which the one with the widest margin wins (ties: the
-    lowest).  ``frames`` (shot, a, b, tx, ty, w, h) are the inverse poses of one flight;
+    lowest).  Rows of one ``point_id`` are routed together, to the widest margin of all
+    of them (ties: the lowest shot, then the greatest pixel).  ``frames`` (shot, a, b, tx, ty, w, h) are the inverse poses of one flight;
     they meet only points that lie outside, by cells of the greatest frame size."""
     own = points.join(frames, "shot")
     px, py = _at("a", "b", "tx", "ty")

@@ -139,6 +139,16 @@ def test_points_fall_back_on_shorter_stems(spark):
     assert {(r.image, r.shot) for r in points.resolve(p, s).collect()} == {("x\\img_1_2_0.png", 2), ("IMG_1_7.jpg", 4), ("other.jpg", None), (None, None)}
 
 
+def test_rows_of_one_point_tie_at_the_greatest_pixel(spark):
+    """SQL of j6 leaves open which of these rows gives the pixel; it is always the same here."""
+    frames = spark.createDataFrame([(s, 1.0, 0.0, -20.0 * s, 0.0, 30.0, 40.0) for s in (0, 1, 2)], "shot long, a double, b double, tx double, ty double, w double, h double")
+    rows = [(7, 0, 31.0, 5.0), (7, 0, 33.0, 5.0), (7, 0, 32.0, 5.0), (8, 0, 31.0, 5.0), (9, 0, 1.0, 5.0)]
+    for r in (rows, rows[::-1], rows[1:3] + rows[:1] + rows[3:]):
+        p = spark.createDataFrame(r, "point_id long, shot long, u double, v double").repartition(3)
+        got = sorted((x.point_id, x.shot, x.px, x.rerouted) for x in points.rerouted(p, frames).collect())
+        assert got == [(7, 1, 13.0, True)] * 3 + [(8, 1, 11.0, True), (9, 0, 1.0, False)]
+
+
 def test_format_and_bands(spark):
     f = spark.createDataFrame([("a", "x.TIF"), ("a", "y.Jpeg"), ("b", "z.tiff"), ("c", "w.txt")], "folder string, name string")
     assert {tuple(r) for r in checks.format_of(f, "folder", "name").collect()} == {("a", "exif"), ("b", "ortho"), ("c", None)}
