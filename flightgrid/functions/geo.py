@@ -218,6 +218,21 @@ def overlap_fraction(a: Column, b: Column) -> Column:
     return shared(*(F.get(q, F.lit(i))[c].cast("double") for q in (a, b) for c in "xy" for i in range(4)))
 
 
+def may_overlap(p: Pose, q: Pose, w: Column, h: Column, least: float) -> Column:
+    """False only where two frames of w by h share less than ``least`` of the smaller:
+    the second's extent along the sides of the first bounds the shared area."""
+    n, m = p[0] * p[0] + p[1] * p[1], q[0] * q[0] + q[1] * q[1]
+    area = F.lit(1.0)
+    # Along (a, b) and (-b, a), lengths are in units of a pixel times n.
+    for (x, y), side in (((p[0], p[1]), w), ((-p[1], p[0]), h)):
+        at = x * (q[2] - p[2]) + y * (q[3] - p[3])
+        right, down = (x * q[0] + y * q[1]) * w, (y * q[0] - x * q[1]) * h
+        none = F.lit(0.0)
+        low, high = at + F.least(none, right) + F.least(none, down), at + F.greatest(none, right) + F.greatest(none, down)
+        area = area * F.greatest(none, F.least(n * side, high) - F.greatest(none, low))
+    return area >= least * n * F.least(n, m) * w * h
+
+
 def tile_to_utm(x: Column, y: Column, ahead_x: Column, ahead_y: Column, gsd: Column, w: Column, h: Column) -> Column:
     """Affine (xx, xy, yx, yy, tx, ty) from pixels to UTM: up is ``ahead``, right is it
     turned clockwise."""

@@ -141,8 +141,9 @@ def j3_rotated_pairs(spark, d):
     s = _shots(spark, d).select("flight_id", F.col("ord").alias("k"), F.col("east_m").alias("x"), (-F.col("north_m")).alias("y"), (F.col("relative_alt_m") / 30 * 74**0.5).alias("r"), *(c.alias(n) for c, n in zip(p, pose, strict=True)))
     largest = s.agg(F.max("r")).first()[0] or 1.0
     found = graph.grid_join(s, 2 * largest + 1e-9)
-    quad = lambda f: geo.corners(tuple(F.col(f"{f}.{c}") for c in pose), w, h)
-    pairs = found.select("flight_id", F.col("a.k").alias("i"), F.col("b.k").alias("j"), r4(geo.overlap_fraction(quad("a"), quad("b"))).alias("overlap"))
+    a, b = (tuple(F.col(f"{f}.{c}") for c in pose) for f in "ab")
+    found = found.where(geo.may_overlap(a, b, w, h, 0.2499))  # what rounds to less is not clipped
+    pairs = found.select("flight_id", F.col("a.k").alias("i"), F.col("b.k").alias("j"), r4(geo.overlap_fraction(geo.corners(a, w, h), geo.corners(b, w, h))).alias("overlap"))
     return pairs.where("overlap >= 0.25")
 
 

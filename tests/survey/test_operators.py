@@ -225,6 +225,24 @@ def test_rotated_overlaps_run_once_and_in_batches(spark, capsys):
     assert got == {0: 0, 1: pytest.approx(clipped_area(square, bent) / 4), 2: pytest.approx(clipped_area(square, bent) / 4), 3: 0}
 
 
+def test_bound_loses_no_overlap(spark):
+    """Frames of all scales, degenerate ones too; the bound leaves out most that share less."""
+    r = random.Random(8)
+
+    def pose():
+        scale, turn = r.choice([0.0, 1.0, 1.0, 1.3, 4.0, -1.0]), r.choice([0.7, 0.7 + math.pi / 2, r.uniform(0, 7)])
+        return scale * math.cos(turn), scale * math.sin(turn), r.uniform(-15, 15), r.uniform(-15, 15)
+
+    rows = [(i, *pose(), *pose()) for i in range(3000)] + [(-1, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "i int, a0 double, a1 double, a2 double, a3 double, b0 double, b1 double, b2 double, b3 double")
+    a, b = (tuple(F.col(f"{f}{k}") for k in range(4)) for f in "ab")
+    w, h = F.lit(14.0), F.lit(10.0)
+    shared = geo.overlap_fraction(geo.corners(a, w, h), geo.corners(b, w, h))
+    got = df.select("i", shared.alias("o"), geo.may_overlap(a, b, w, h, 0.2499).alias("may")).collect()
+    assert all(x.may for x in got if x.o >= 0.24995) and sum(x.o >= 0.25 for x in got) > 300
+    assert sum(not x.may for x in got) > 500
+
+
 def test_similarity_of_reflected_and_single_places(spark):
     mirrored = [(1, x, y, -x, y) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 2.0), (3.0, 7.0))]
     one_place = [(2, 1.0, 1.0, float(i), 0.0) for i in range(3)]
